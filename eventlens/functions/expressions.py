@@ -194,6 +194,12 @@ def day_number(day: str | Column) -> Column:
     return F.datediff(col(day), F.lit("1970-01-01").cast("date"))
 
 
+def to_decimals(value: str | Column, digits: int) -> Column:
+    """Round by scaling, as a binary float rounds: 1.275 is below its tie and goes down."""
+    scale = 10.0**digits
+    return F.round(col(value) * scale) / scale
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to ``digits`` decimals and ints to longs, for display and comparison."""
     out = []

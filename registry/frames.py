@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventlens.operators import series
 from eventlens.plans import gold, silver
 from eventlens.sources.sample_tables import SampleTables
 
@@ -36,6 +37,10 @@ class Frames:
     def indicators(self) -> DataFrame:
         return self.tables.economic_indicators()
 
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return series.daily_snapshots(self.tables.prediction_snapshots())
+
     @cached_property
     def silver_events(self) -> DataFrame:
         return silver.silver_events(self.bronze_events)

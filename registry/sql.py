@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from eventlens import reference as ref
 from eventlens.sources import sample_tables
 
@@ -31,20 +33,25 @@ def query(final: str, needs: str) -> str:
     return f"WITH {body}\n{final}"
 
 
+def _alias(c: str) -> tuple[str, str]:
+    m = re.fullmatch(r"(.*) AS (\w+)", c, re.S)
+    return (m[1], m[2]) if m else (c, c.split(".")[-1])
+
+
 def r(*cols: str, d: int = 6) -> str:
     """Rounded doubles; adding 0.0 turns a rounded -0.0 into 0.0."""
     out = []
     for c in cols:
-        expr, _, alias = c.partition(" AS ")
-        out.append(f"round(CAST({expr} AS DOUBLE), {d}) + CAST(0 AS DOUBLE) AS {alias or expr.split('.')[-1]}")
+        expr, alias = _alias(c)
+        out.append(f"round(CAST({expr} AS DOUBLE), {d}) + CAST(0 AS DOUBLE) AS {alias}")
     return ", ".join(out)
 
 
 def big(*cols: str) -> str:
     out = []
     for c in cols:
-        expr, _, alias = c.partition(" AS ")
-        out.append(f"CAST({expr} AS BIGINT) AS {alias or expr.split('.')[-1]}")
+        expr, alias = _alias(c)
+        out.append(f"CAST({expr} AS BIGINT) AS {alias}")
     return ", ".join(out)
 
 
