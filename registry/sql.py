@@ -29,6 +29,8 @@ def query(final: str, needs: str) -> str:
 
     for name in needs.split():
         visit(name)
+    if not order:
+        return final
     body = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
     return f"WITH {body}\n{final}"
 
