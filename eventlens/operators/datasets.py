@@ -12,6 +12,7 @@ from eventlens.operators.market import symbols_of_countries
 from eventlens.operators.patterns import event_countries
 
 TRAIN, VALIDATION = 0.7, 0.15
+SPLIT_BUCKETS = 1024
 FLAT_FEATURES = [
     "goldstein_mean", "goldstein_min", "goldstein_max", "goldstein_std", "mentions_total",
     "avg_tone", "conflict_count", "cooperation_count",
@@ -56,38 +57,54 @@ def daily_ml_features(
     return out.withColumn("target", X.move_target("log_return")).dropna()
 
 
-def chronological_split(df: DataFrame, day: str, order: list[str]) -> DataFrame:
+def chronological_split(
+    df: DataFrame, day: str, order: list[str], bucket: Column | None = None
+) -> DataFrame:
     """Add ``split`` by position after sorting on date: first 70 %, next 15 %, rest.
 
-    The cuts fall at positions int(0.7 n) and int(0.85 n). Positions come from counts per
-    date: the running total runs over one row per date, and only rows within a date are
-    ranked, so no task ever sorts the whole set.
+    The cuts fall at positions int(0.7 n) and int(0.85 n). A row's position is the count
+    before its date (running total over one row per date), plus the count before its
+    ``bucket`` within the date, plus its rank in the bucket. Only a bucket is ever sorted
+    in one task; pass a spreading ``bucket`` where one date may hold many rows.
     """
-    per_day = df.groupBy(day).agg(F.count(F.lit(1)).alias("_in_day"))
-    before = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    placed = per_day.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_in_day").over(before), F.lit(0)),
-            "_total": F.sum("_in_day").over(Window.partitionBy(F.lit(1))),
-        }
+    spread = df.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
+    counts = spread.groupBy(day, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    days = (
+        counts.groupBy(day)
+        .agg(F.sum("_n").alias("_day_n"))
+        .select(
+            day,
+            F.coalesce(F.sum("_day_n").over(earlier), F.lit(0)).alias("_days_before"),
+            F.sum("_day_n").over(Window.partitionBy(F.lit(1))).alias("_total"),
+        )
     )
-    low = F.floor(F.col("_total") * F.lit(TRAIN))
-    high = F.floor(F.col("_total") * F.lit(TRAIN + VALIDATION))
-    whole = (
-        F.when(F.col("_before") + F.col("_in_day") <= low, "train")
-        .when((F.col("_before") >= low) & (F.col("_before") + F.col("_in_day") <= high), "val")
-        .when(F.col("_before") >= high, "test")
+    within = Window.partitionBy(day).orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    days = placed.select(day, whole.alias("_whole"), "_before", low.alias("_low"), high.alias("_high"))
-    joined = df.join(days, day)
-    # At most two dates straddle a cut; only their rows need a rank.
-    rank = F.row_number().over(Window.partitionBy(day).orderBy(*order)) - 1 + F.col("_before")
-    split = (
-        F.when(rank < F.col("_low"), "train").when(rank < F.col("_high"), "val").otherwise("test")
+    placed = (
+        counts.withColumn("_in_day", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+        .join(days, day)
+        .select(
+            day,
+            "_bucket",
+            (F.col("_days_before") + F.col("_in_day")).alias("_before"),
+            F.floor(F.col("_total") * TRAIN).alias("_low"),
+            F.floor(F.col("_total") * (TRAIN + VALIDATION)).alias("_high"),
+        )
+    )
+    rank = F.row_number().over(Window.partitionBy(day, "_bucket").orderBy(*order)) - 1
+    position = F.col("_before") + rank
+    return (
+        spread.join(placed, [day, "_bucket"])
+        .withColumn(
+            "split",
+            F.when(position < F.col("_low"), "train")
+            .when(position < F.col("_high"), "val")
+            .otherwise("test"),
+        )
+        .drop("_bucket", "_before", "_low", "_high")
     )
-    out = joined.filter(F.col("_whole").isNotNull()).withColumn("split", F.col("_whole"))
-    cut = joined.filter(F.col("_whole").isNull()).withColumn("split", split)
-    return out.unionByName(cut).drop("_whole", "_before", "_low", "_high")
 
 
 def flat_dataset(
@@ -173,9 +190,8 @@ def backward_context(market: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(last20)
     ago5, ago20 = F.lag("close", 4).over(w), F.lag("close", 19).over(w)
     mean_volume = F.avg(volume).over(last20)
-    ratio = F.when(mean_volume > 0, X.safe_ratio(volume, mean_volume)).otherwise(
-        F.when(F.count(volume).over(last20) >= 0, F.lit(1.0))
-    )
+    # No volume at all, or a zero mean, counts as an ordinary day.
+    ratio = F.when(mean_volume > 0, X.safe_ratio(volume, mean_volume)).otherwise(1.0)
     columns = {
         "prior_volatility_20d": F.stddev_samp(ret).over(last20),
         "prior_momentum_5d": X.safe_ratio(close - ago5, ago5),
@@ -188,17 +204,6 @@ def backward_context(market: DataFrame) -> DataFrame:
     )
 
 
-def _calendar(rows: DataFrame, probes: DataFrame) -> tuple[DataFrame, Column]:
-    """Price rows and distinct probe days of each symbol on one time line."""
-    p = probes.select("symbol", F.col("event_date").alias("date")).distinct()
-    day = X.day_number("date").alias("_day")
-    have = rows.select("symbol", "date", F.struct(*[c for c in rows.columns if c not in ("symbol", "date")]).alias("_row"))
-    line = have.select("symbol", "date", "_row", F.lit(False).alias("_probe")).unionByName(
-        p.select("symbol", "date", F.lit(True).alias("_probe")), allowMissingColumns=True
-    )
-    return line.withColumn("_day", day), F.col("_day")
-
-
 def around_dates(market: DataFrame, probes: DataFrame, horizon: int = 3) -> DataFrame:
     """For each distinct (symbol, event_date): the row strictly after and strictly before.
 
@@ -207,11 +212,19 @@ def around_dates(market: DataFrame, probes: DataFrame, horizon: int = 3) -> Data
     per calendar day), so neither side needs a range join.
     """
     rows = backward_context(market).join(forward_returns(market, horizon), ["symbol", "date"])
-    line, _ = _calendar(rows, probes)
+    prior = [c for c in rows.columns if c.startswith("prior_")]
+    packed = rows.select(
+        "symbol", "date", F.struct("forward_return", *prior).alias("_row"), F.lit(False).alias("_probe")
+    )
+    asked = probes.select(
+        "symbol", F.col("event_date").alias("date"), F.lit(True).alias("_probe")
+    ).distinct()
+    line = packed.unionByName(asked, allowMissingColumns=True).withColumn(
+        "_day", X.day_number("date")
+    )
     w = Window.partitionBy("symbol").orderBy("_day")
     after = F.first("_row", ignorenulls=True).over(w.rangeBetween(1, Window.unboundedFollowing))
     before = F.last("_row", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    prior = [c for c in rows.columns if c.startswith("prior_")]
     return (
         line.withColumns({"_after": after, "_before": before})
         .filter("_probe")
@@ -271,4 +284,9 @@ def event_asset_dataset(
         *[F.col(c).cast("double").alias(c) for c in PAIR_FEATURES],
         "target",
     ).dropna(subset=PAIR_FEATURES)
-    return chronological_split(rows, "event_date", ["symbol", "event_id", "source_url"])
+    return chronological_split(
+        rows,
+        "event_date",
+        ["event_id", "source_url", "symbol"],
+        bucket=F.pmod("event_id", F.lit(SPLIT_BUCKETS)),
+    )
