@@ -169,21 +169,15 @@ def expand_event_assets(events: DataFrame, geo: str = "country_code") -> DataFra
     )
 
 
-def forward_returns(market: DataFrame, horizon: int = 3) -> DataFrame:
-    """(symbol, date): summed return of that row and the next ones, null if too few."""
+def forward_return(horizon: int = 3) -> Column:
+    """Summed return of a row and the next ones of its symbol, null if too few."""
     frame = X.symbol_window().rowsBetween(0, horizon - 1)
     ret = F.coalesce("log_return", F.lit(0.0))
-    return market.select(
-        "symbol",
-        "date",
-        X.guarded(F.sum(ret).over(frame), F.count(F.lit(1)).over(frame), horizon).alias(
-            "forward_return"
-        ),
-    )
+    return X.guarded(F.sum(ret).over(frame), F.count(F.lit(1)).over(frame), horizon)
 
 
-def backward_context(market: DataFrame) -> DataFrame:
-    """(symbol, date): context over the 20 rows ending there, null if fewer."""
+def backward_context() -> dict[str, Column]:
+    """Context over the 20 rows of a symbol ending at a row, null if fewer."""
     w = X.symbol_window()
     last20, last5 = w.rowsBetween(-19, 0), w.rowsBetween(-4, 0)
     ret, close, volume = F.coalesce("log_return", F.lit(0.0)), F.col("close"), F.col("volume")
@@ -199,9 +193,7 @@ def backward_context(market: DataFrame) -> DataFrame:
         "prior_return_5d_mean": F.avg(ret).over(last5),
         "prior_volume_ratio": ratio,
     }
-    return market.select(
-        "symbol", "date", *[X.guarded(c, n, 20).alias(name) for name, c in columns.items()]
-    )
+    return {name: X.guarded(c, n, 20) for name, c in columns.items()}
 
 
 def around_dates(market: DataFrame, probes: DataFrame, horizon: int = 3) -> DataFrame:
@@ -211,8 +203,14 @@ def around_dates(market: DataFrame, probes: DataFrame, horizon: int = 3) -> Data
     previous one. Prices and probe days share one time line per symbol (at most two rows
     per calendar day), so neither side needs a range join.
     """
-    rows = backward_context(market).join(forward_returns(market, horizon), ["symbol", "date"])
-    prior = [c for c in rows.columns if c.startswith("prior_")]
+    context = backward_context()
+    prior = list(context)
+    rows = market.select(
+        "symbol",
+        "date",
+        forward_return(horizon).alias("forward_return"),
+        *[c.alias(name) for name, c in context.items()],
+    )
     packed = rows.select(
         "symbol", "date", F.struct("forward_return", *prior).alias("_row"), F.lit(False).alias("_probe")
     )
@@ -250,9 +248,12 @@ def backward_n_rows_join(market: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(days, ["symbol", "event_date"], "left")
 
 
-def label_encode_symbol(df: DataFrame) -> DataFrame:
-    """Index of the symbol in the sorted list of symbols present."""
-    present = df.select("symbol").distinct()
+def label_encode_symbol(df: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Index of the symbol in the sorted list of symbols present.
+
+    ``present`` may name them from a smaller table, to spare a second pass over ``df``.
+    """
+    present = (df if present is None else present).select("symbol").distinct()
     ids = present.select(
         "symbol", (F.row_number().over(Window.orderBy("symbol")) - 1).alias("symbol_id")
     )
@@ -275,7 +276,8 @@ def event_asset_dataset(
         .withColumn("target", (F.col("forward_return") > 0).cast("int"))
         .withColumns(flags)
     )
-    encoded = label_encode_symbol(joined)
+    # Every probe day stems from a pair, so the day table knows the symbols that remain.
+    encoded = label_encode_symbol(joined, days.dropna(subset=["forward_return"]))
     rows = encoded.select(
         F.col("id").alias("event_id"),
         "source_url",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventlens.operators import series
+from eventlens.operators import dedup, series
 from eventlens.plans import gold, silver
 from eventlens.sources.sample_tables import SampleTables
 
@@ -41,6 +42,27 @@ class Frames:
     def predictions(self) -> DataFrame:
         return series.daily_snapshots(self.tables.prediction_snapshots())
 
+    @cached_property
+    def headline_corpus(self) -> DataFrame:
+        """Headlines with the vectors of even labels."""
+        v = self.tables.raw("embeddings").filter("label % 2 = 0")
+        return self.bronze_headlines.join(
+            v.select(F.col("vec_id").alias("id"), "embedding"), "id", "left"
+        )
+
+    @cached_property
+    def event_corpus(self) -> DataFrame:
+        """Unique events with the vectors of odd labels."""
+        v = self.tables.raw("embeddings").filter("label % 2 = 1")
+        return dedup.dedup_events(self.events).join(
+            v.select((F.col("vec_id") * 8 + 1).alias("id"), "embedding"), "id", "left"
+        )
+
+    def query_vectors(self, n: int = 3) -> dict[str, list[float]]:
+        """The first vectors of the table serve as queries."""
+        v = self.tables.raw("embeddings").orderBy("vec_id").limit(n).collect()
+        return {f"q{r['vec_id']}": list(r["embedding"]) for r in v}
+
     @cached_property
     def silver_events(self) -> DataFrame:
         return silver.silver_events(self.bronze_events)

@@ -340,7 +340,7 @@ def _two_models(f):
     data = checkpoint(_dataset(f))
     fitted = {
         "logistic_regression": models.train_logistic(data),
-        "random_forest": models.train_random_forest(data),
+        "boosted_trees": models.train_boosted_trees(data),
     }
     metrics = None
     for name, m in fitted.items():
@@ -372,6 +372,6 @@ def _(f):
 @query("feature_importances")
 def _(f):
     data = checkpoint(_dataset(f))
-    return models.feature_importances(models.train_random_forest(data), f.spark, datasets.PAIR_FEATURES)
+    return models.feature_importances(models.train_boosted_trees(data), f.spark, datasets.PAIR_FEATURES)
 
 
