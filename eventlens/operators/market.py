@@ -155,30 +155,38 @@ def watchers() -> dict[str, list[str]]:
     return out
 
 
-def _day_aggregates(min_mentions: int) -> list[Column]:
-    """Counts respect ``min_mentions``; the top event of the day does not."""
+def _partial_sums(events: DataFrame, keys: list[Column], min_mentions: int) -> DataFrame:
+    """Mergeable sums and the top event per key.
+
+    Counts respect ``min_mentions``; the top event of the day does not.
+    """
     counted = F.col("num_mentions") >= min_mentions if min_mentions > 0 else F.lit(True)
     code = "event_root_code"
-    ties = F.struct("num_mentions", "id", "source_url")
+    # Ordered by coverage; ids make the order total.
     top = F.struct(
-        "id", "action_geo_name", "goldstein_scale", "num_mentions", "event_root_code"
+        "num_mentions", "id", "source_url", "action_geo_name", "goldstein_scale", code
+    )
+    return events.groupBy(*keys).agg(
+        X.count_if(counted).alias("n"),
+        F.sum(F.when(counted, F.col("goldstein_scale"))).alias("g_sum"),
+        F.count(F.when(counted, F.col("goldstein_scale"))).alias("g_n"),
+        F.sum(F.when(counted, F.col("num_mentions"))).alias("mentions"),
+        X.count_if(counted & X.in_codes(code, ref.CONFLICT_ROOTS)).alias("conflict"),
+        X.count_if(counted & X.in_codes(code, ref.COOPERATION_ROOTS)).alias("cooperation"),
+        F.max(top).alias("top"),
+    )
+
+
+def _merged_days(partial: DataFrame, *keys: str) -> DataFrame:
+    t = F.col("top")
+    days = partial.groupBy(*keys).agg(
+        F.sum("n").alias("event_count"),
+        X.to_decimals(X.safe_ratio(F.sum("g_sum"), F.sum("g_n")), 2).alias("avg_goldstein"),
+        F.coalesce(F.sum("mentions"), F.lit(0)).alias("total_mentions"),
+        F.sum("conflict").alias("conflict_count"),
+        F.sum("cooperation").alias("cooperation_count"),
+        F.max("top").alias("top"),
     )
-    return [
-        X.count_if(counted).alias("event_count"),
-        X.to_decimals(F.avg(F.when(counted, F.col("goldstein_scale"))), 2).alias("avg_goldstein"),
-        F.coalesce(F.sum(F.when(counted, F.col("num_mentions"))), F.lit(0)).alias(
-            "total_mentions"
-        ),
-        X.count_if(counted & X.in_codes(code, ref.CONFLICT_ROOTS)).alias("conflict_count"),
-        X.count_if(counted & X.in_codes(code, ref.COOPERATION_ROOTS)).alias(
-            "cooperation_count"
-        ),
-        F.max_by(top, ties).alias("_top"),
-    ]
-
-
-def _with_top(days: DataFrame) -> DataFrame:
-    t = F.col("_top")
     return days.filter(F.col("event_count") > 0).withColumns(
         {
             "top_event_id": t["id"],
@@ -187,7 +195,22 @@ def _with_top(days: DataFrame) -> DataFrame:
             "top_event_mentions": F.coalesce(t["num_mentions"], F.lit(0)),
             "top_event_group": X.event_group(t["event_root_code"]),
         }
-    ).drop("_top")
+    ).drop("top")
+
+
+def _by_countries(events: DataFrame, min_mentions: int, geo: str) -> DataFrame:
+    """Partial sums per (date, set of countries).
+
+    Events are reduced to the country combinations of a day before they are spread over
+    symbols, so the explode and the second shuffle no longer grow with the event count.
+    """
+    countries = F.array_sort(event_countries(geo)).alias("countries")
+    return _partial_sums(events, [F.col("event_date").alias("date"), countries], min_mentions)
+
+
+def _spread(partial: DataFrame) -> DataFrame:
+    symbols = symbols_of_countries(F.col("countries"), watchers())
+    return _merged_days(partial.withColumn("symbol", F.explode(symbols)), "symbol", "date")
 
 
 def overlay_day_agg(
@@ -195,24 +218,17 @@ def overlay_day_agg(
 ) -> DataFrame:
     """Per (symbol, date) over events of the symbol's countries, with the day's top event."""
     e = events.filter(X.between_dates("event_date", start, end))
-    tagged = e.withColumn(
-        "symbol", F.explode(symbols_of_countries(event_countries(geo), watchers()))
-    )
-    days = tagged.groupBy("symbol", F.col("event_date").alias("date"))
-    return _with_top(days.agg(*_day_aggregates(min_mentions)))
+    return _spread(_by_countries(e, min_mentions, geo))
 
 
 def top_event_per_day(events: DataFrame, start=None, end=None) -> DataFrame:
     """Most covered event of each date, over all countries."""
     e = events.filter(X.between_dates("event_date", start, end))
-    days = e.groupBy(F.col("event_date").alias("date")).agg(*_day_aggregates(0))
-    return _with_top(days).select("date", *[c for c in _TOP])
-
-
-_TOP = [
-    "top_event_id", "top_event_place", "top_event_goldstein", "top_event_mentions",
-    "top_event_group",
-]
+    days = _partial_sums(e, [F.col("event_date").alias("date")], 0)
+    return _merged_days(days, "date").select(
+        "date", "top_event_id", "top_event_place", "top_event_goldstein", "top_event_mentions",
+        "top_event_group",
+    )
 
 
 def semi_join_event_dates(events: DataFrame, days: DataFrame) -> DataFrame:
@@ -235,10 +251,8 @@ def price_event_overlay(
     Symbols that watch no country take the summary over all events.
     """
     e = events.filter(X.between_dates("event_date", start, end))
-    own = overlay_day_agg(e, min_mentions=min_mentions, geo=geo)
-    world = _with_top(
-        e.groupBy(F.col("event_date").alias("date")).agg(*_day_aggregates(min_mentions))
-    )
+    partial = _by_countries(e, min_mentions, geo)
+    own, world = _spread(partial), _merged_days(partial, "date")
     prices = _slice(market, None, start, end).select(
         "symbol", "date", "close", "open", "high", "low", "volume", "daily_return"
     )

@@ -21,21 +21,22 @@ def classify_events(
 ) -> DataFrame:
     """Add ``event_group`` and ``cameo_label``; 'other' where the code is unknown."""
     spark = events.sparkSession
-    code = X.cameo_code_norm("event_root_code")
-    g = (groups or ref.event_group_map(spark)).select(
-        F.col("code").alias("_gcode"), F.col("event_group").alias("_group")
+    built_in = groups is None and labels is None
+    g = (ref.event_group_map(spark) if groups is None else groups).select("code", "event_group")
+    c = (ref.cameo_label_map(spark) if labels is None else labels).select("code", "cameo_label")
+    # Both maps share the code, so the event table is joined once.
+    both = g.join(c, "code", "full_outer").select(
+        F.col("code").alias("_code"),
+        F.col("event_group").alias("_group"),
+        F.col("cameo_label").alias("_label"),
     )
-    c = (labels or ref.cameo_label_map(spark)).select(
-        F.col("code").alias("_lcode"), F.col("cameo_label").alias("_label")
-    )
-    out = _lookup(events, g, code == F.col("_gcode"), groups is None)
-    out = _lookup(out, c, code == F.col("_lcode"), labels is None)
+    out = _lookup(events, both, X.cameo_code_norm("event_root_code") == F.col("_code"), built_in)
     return out.withColumns(
         {
             "event_group": F.coalesce("_group", F.lit("other")),
             "cameo_label": F.coalesce("_label", F.lit("other")),
         }
-    ).drop("_gcode", "_group", "_lcode", "_label")
+    ).drop("_code", "_group", "_label")
 
 
 def fips_to_iso(
@@ -56,7 +57,8 @@ def fips_to_iso(
 
 def normalize_source(headlines: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Replace ``source`` by its canonical name, else its lower case."""
-    t = (table or ref.source_normalization(headlines.sparkSession)).select("raw", "canonical")
+    known = ref.source_normalization(headlines.sparkSession) if table is None else table
+    t = known.select("raw", "canonical")
     out = _lookup(headlines, t, F.lower("source") == F.col("raw"), table is None)
     return out.withColumn("source", F.coalesce("canonical", F.lower("source"))).drop(
         "raw", "canonical"

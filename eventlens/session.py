@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on; anything about cluster size stays with the cluster.
@@ -60,3 +63,10 @@ def ship_package(spark: SparkSession) -> None:
     base = str(Path(tempfile.mkdtemp(prefix="eventlens-")) / "eventlens")
     sc.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
     sc._eventlens_shipped = True
+
+
+def run_together(spark: SparkSession, *jobs: Callable[[], None]) -> None:
+    """Submit independent jobs at once, so that one job's tail does not idle the cluster."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+            done.result()

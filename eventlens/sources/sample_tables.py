@@ -17,15 +17,13 @@ NATION_FIPS = [
 ]
 
 
-def _case(expr: str, values: list[str | None]) -> str:
-    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None)
-    return f"CASE {expr} {arms} END"
+def _pick(index: str, values: list[str | None]) -> str:
+    """Element of a fixed list by 0-based index; null where the list has none."""
+    text = ",".join(v or "" for v in values)
+    return f"nullif(split_part('{text}', ',', CAST({index} + 1 AS INT)), '')"
 
 
 _NATION_ISO = [None if f is None else ref.FIPS_ISO.get(f, f) for f in NATION_FIPS]
-FIPS_OF = _case("s.s_nationkey", NATION_FIPS)
-ACTOR1_ISO = _case("s.s_nationkey", _NATION_ISO)
-ACTOR2_ISO = _case("l.l_partkey % 25", _NATION_ISO)
 
 # Sources of every view below; names in braces are the sample tables.
 SQL = {
@@ -46,35 +44,34 @@ SQL = {
                o_orderkey AS id
         FROM {orders}""",
     "events": f"""
-        SELECT l.l_orderkey * 8 + l.l_linenumber AS id,
-               concat(CAST(l.l_orderkey AS STRING), '-', CAST(l.l_linenumber AS STRING))
+        SELECT l_orderkey * 8 + l_linenumber AS id,
+               concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))
                  AS global_event_id,
-               CAST(l.l_shipdate AS DATE) AS event_date,
-               lpad(CAST(1 + l.l_partkey % 20 AS STRING), 2, '0') AS event_root_code,
-               CASE WHEN {ACTOR1_ISO} IS NOT NULL THEN ({ACTOR1_ISO}) || 'GOV' END
-                 AS actor1_code,
-               CASE WHEN l.l_linenumber <> 7 THEN 'ACTOR ' || ({ACTOR1_ISO}) END
-                 AS actor1_name,
-               {ACTOR1_ISO} AS actor1_country_code,
-               CASE WHEN {ACTOR2_ISO} IS NOT NULL THEN ({ACTOR2_ISO}) || 'MIL' END
-                 AS actor2_code,
-               CASE WHEN l.l_linenumber <> 6 THEN 'ACTOR ' || ({ACTOR2_ISO}) END
-                 AS actor2_name,
-               {ACTOR2_ISO} AS actor2_country_code,
-               CAST(l.l_partkey % 41 AS DOUBLE) / 2 - 10 AS goldstein_scale,
-               CAST(floor(l.l_quantity * 40) AS INT) AS num_mentions,
-               l.l_linenumber AS num_sources,
-               l.l_linenumber AS num_articles,
-               l.l_tax * 100 - 4 AS avg_tone,
-               {FIPS_OF} AS action_geo_country_code,
-               CASE WHEN l.l_linenumber <> 5 THEN 'Place ' || ({FIPS_OF}) END
-                 AS action_geo_name,
-               CAST(s.s_nationkey AS DOUBLE) AS action_geo_lat,
-               CAST(-s.s_nationkey AS DOUBLE) AS action_geo_long,
-               concat('e/', CAST(l.l_partkey AS STRING), '/', CAST(l.l_suppkey AS STRING), '/',
-                      CAST(CAST(round(l.l_extendedprice * 100) AS BIGINT) AS STRING))
+               CAST(l_shipdate AS DATE) AS event_date,
+               lpad(CAST(1 + l_partkey % 20 AS STRING), 2, '0') AS event_root_code,
+               iso1 || 'GOV' AS actor1_code,
+               CASE WHEN l_linenumber <> 7 THEN 'ACTOR ' || iso1 END AS actor1_name,
+               iso1 AS actor1_country_code,
+               iso2 || 'MIL' AS actor2_code,
+               CASE WHEN l_linenumber <> 6 THEN 'ACTOR ' || iso2 END AS actor2_name,
+               iso2 AS actor2_country_code,
+               CAST(l_partkey % 41 AS DOUBLE) / 2 - 10 AS goldstein_scale,
+               CAST(floor(l_quantity * 40) AS INT) AS num_mentions,
+               l_linenumber AS num_sources,
+               l_linenumber AS num_articles,
+               l_tax * 100 - 4 AS avg_tone,
+               fips AS action_geo_country_code,
+               CASE WHEN l_linenumber <> 5 THEN 'Place ' || fips END AS action_geo_name,
+               CAST(s_nationkey AS DOUBLE) AS action_geo_lat,
+               CAST(-s_nationkey AS DOUBLE) AS action_geo_long,
+               concat('e/', CAST(l_partkey AS STRING), '/', CAST(l_suppkey AS STRING), '/',
+                      CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING))
                  AS source_url
-        FROM {{lineitem}} l JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey""",
+        FROM (SELECT l.*, s.s_nationkey,
+                     {_pick("s.s_nationkey", NATION_FIPS)} AS fips,
+                     {_pick("s.s_nationkey", _NATION_ISO)} AS iso1,
+                     {_pick("l.l_partkey % 25", _NATION_ISO)} AS iso2
+              FROM {{lineitem}} l JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey) x""",
     "news_headlines": """
         SELECT doc_id AS id,
                CASE doc_id % 5 WHEN 0 THEN 'Reuters' WHEN 1 THEN 'AP' WHEN 2 THEN 'BBC'

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.operators.dedup import keep_best
+from eventlens.session import checkpoint
 
 KEYS = {
     "events": ["global_event_id"],
@@ -202,6 +203,37 @@ def materialize_incremental(
     )
 
 
+def upsert_by_month(
+    spark: SparkSession, path: str, new: DataFrame, keys: list[str], date_column: str
+) -> None:
+    """Update-or-insert that rewrites only the month partitions ``new`` touches.
+
+    A few days of late or repeated rows touch one or two months, whatever the size of the
+    table. A key is expected to keep its date. The merged months are written to the
+    checkpoint folder first, so the partitions being replaced are never also being read.
+    """
+    incoming = new.dropna(subset=[*keys, date_column]).withColumn(
+        "month", F.date_format(date_column, "yyyy-MM")
+    )
+    merged = incoming
+    if exists(spark, path):
+        months = [r["month"] for r in incoming.select("month").distinct().collect()]
+        old = spark.read.parquet(path).filter(F.col("month").isin(months))
+        old = old.withColumn("month", F.col("month").cast("string"))
+        merged = merge_by_key(old, incoming, keys)
+    else:
+        order = [F.col(c).desc_nulls_last() for c in incoming.columns if c not in keys]
+        merged = keep_best(incoming, keys, order)
+    (
+        checkpoint(merged)
+        .hint("rebalance", F.col("month"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("month")
+        .parquet(path)
+    )
+
+
 def month_start(day) -> Column:
     return F.trunc(F.lit(day).cast("date"), "month")
 
