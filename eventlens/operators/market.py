@@ -204,7 +204,7 @@ def _by_countries(events: DataFrame, min_mentions: int, geo: str) -> DataFrame:
     Events are reduced to the country combinations of a day before they are spread over
     symbols, so the explode and the second shuffle no longer grow with the event count.
     """
-    countries = F.array_sort(event_countries(geo)).alias("countries")
+    countries = F.sort_array(event_countries(geo)).alias("countries")
     return _partial_sums(events, [F.col("event_date").alias("date"), countries], min_mentions)
 
 

@@ -14,10 +14,12 @@ COMBINED_GROUPS = ["violent_conflict", "material_conflict"]
 
 
 def event_countries(geo: str = "country_code") -> Column:
-    """Distinct non-null countries of actor 1, actor 2 and the place."""
-    return F.array_distinct(
-        F.array_compact(F.array("actor1_country_code", "actor2_country_code", geo))
-    )
+    """Distinct non-null countries of actor 1, actor 2 and the place.
+
+    ``array_except`` drops nulls and doubles in one native step.
+    """
+    nothing = F.array(F.lit(None).cast("string"))
+    return F.array_except(F.array("actor1_country_code", "actor2_country_code", geo), nothing)
 
 
 def country_matches(country: str, geo: str = "country_code") -> Column:

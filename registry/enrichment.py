@@ -285,6 +285,26 @@ def _(f):
     return e.select("id", F.size("embedding").alias("dims"), norm.alias("squared_norm"))
 
 
+@query("query_dossier")
+def _(f):
+    """Rows per section for every conversation turn taken as a question."""
+    from functools import reduce
+
+    from eventlens.plans import dossier
+
+    turns = f.tables.raw("conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query")
+    )
+    sections = dossier.query_dossier(
+        turns, f.silver_market, f.events, f.bronze_headlines, "1998-06-30", "1995-01-01"
+    )
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("section"), "n_rows")
+        for n, df in sections.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 # ---- data quality ------------------------------------------------------------------------------------
 def _tables(f):
     return {
