@@ -165,15 +165,15 @@ def tagged_days(events: DataFrame, geo: str = "country_code") -> DataFrame:
         F.col("event_date").alias("date"),
         known.alias("g"),
         F.array_intersect(event_countries(geo), watched).alias("cs"),
-    ).distinct()
-    tags = F.array_compact(
-        F.concat(
-            F.array(F.when(F.col("g").isNotNull(), tag(F.col("g"), none))),
-            F.transform("cs", lambda c: tag(none, c)),
-            F.transform(
-                "cs", lambda c: F.when(F.col("g").isin(COMBINED_GROUPS), tag(F.col("g"), c))
-            ),
-        )
+    )
+    # The combined tags only exist for two groups; elsewhere that part is empty.
+    empty = F.array().cast("array<struct<event_group:string,country:string>>")
+    tags = F.concat(
+        F.when(F.col("g").isNotNull(), F.array(tag(F.col("g"), none))).otherwise(empty),
+        F.transform("cs", lambda c: tag(none, c)),
+        F.when(
+            F.col("g").isin(COMBINED_GROUPS), F.transform("cs", lambda c: tag(F.col("g"), c))
+        ).otherwise(empty),
     )
     return (
         keyed.select("date", F.explode(tags).alias("t"))
@@ -198,17 +198,21 @@ def all_patterns(
     if symbols:
         prices = prices.filter(F.col("symbol").isin(symbols))
     days = tagged_days(events.filter(X.between_dates("event_date", start, end)), geo)
-    links = F.broadcast(
-        ref.symbol_country_map(market.sparkSession).withColumnRenamed("country_code", "country")
+    # Each price row asks for the world ("*") and the countries its symbol watches: a few
+    # rows per symbol and day, joined by equality to the tagged days in one pass.
+    table = F.map_from_entries(
+        F.array(
+            *[
+                F.struct(F.lit(s), F.array(F.lit("*"), *[F.lit(c) for c in cs]))
+                for s, cs in ref.SYMBOL_COUNTRIES.items()
+            ]
+        )
     )
-    by_group = event_day_returns(prices, days.filter(F.col("country").isNull()))
-    by_country = (
-        days.filter(F.col("country").isNotNull())
-        .join(links, "country")
-        .join(prices, ["symbol", "date"])
-        .dropna(subset=["log_return"])
+    asked = prices.dropna(subset=["log_return"]).withColumn(
+        "_watch", F.explode(F.coalesce(F.try_element_at(table, F.col("symbol")), F.array(F.lit("*"))))
     )
-    pooled = by_group.unionByName(by_country)
+    tagged = days.withColumn("_watch", F.coalesce("country", F.lit("*")))
+    pooled = asked.join(tagged, ["date", "_watch"])
     return (
         _pattern_stats(pooled, "symbol", "event_group", "country")
         .filter(F.col("total_occurrences") >= min_occurrences)

@@ -22,10 +22,16 @@ def classify_events(
     """Add ``event_group`` and ``cameo_label``; 'other' where the code is unknown."""
     spark = events.sparkSession
     built_in = groups is None and labels is None
-    g = (ref.event_group_map(spark) if groups is None else groups).select("code", "event_group")
-    c = (ref.cameo_label_map(spark) if labels is None else labels).select("code", "cameo_label")
-    # Both maps share the code, so the event table is joined once.
-    both = g.join(c, "code", "full_outer").select(
+    if built_in:
+        table = ref.code_map(spark)
+    else:
+        # Both maps share the code, so the event table is joined once.
+        g = ref.event_group_map(spark) if groups is None else groups
+        c = ref.cameo_label_map(spark) if labels is None else labels
+        table = g.select("code", "event_group").join(
+            c.select("code", "cameo_label"), "code", "full_outer"
+        )
+    both = table.select(
         F.col("code").alias("_code"),
         F.col("event_group").alias("_group"),
         F.col("cameo_label").alias("_label"),

@@ -218,27 +218,41 @@ def all_symbols() -> list[str]:
     return [s for names in SYMBOLS.values() for s in names]
 
 
-def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _small(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """Constant string rows as a local relation, whose exact size the optimizer knows."""
+    quoted = [", ".join("'" + v.replace("'", "\\'") + "'" for v in row) for row in rows]
+    return spark.sql(
+        f"SELECT * FROM VALUES {', '.join(f'({q})' for q in quoted)} AS constants({names})"
+    )
 
 
 def event_group_map(spark: SparkSession) -> DataFrame:
     return _small(
         spark,
         [(code, group) for group, codes in EVENT_GROUPS.items() for code in codes],
-        "code string, event_group string",
+        "code, event_group",
     )
 
 
 def cameo_label_map(spark: SparkSession) -> DataFrame:
-    return _small(spark, list(CAMEO_LABELS.items()), "code string, cameo_label string")
+    return _small(spark, list(CAMEO_LABELS.items()), "code, cameo_label")
+
+
+def code_map(spark: SparkSession) -> DataFrame:
+    """Group and label of each root code in one table."""
+    group_of = {code: group for group, codes in EVENT_GROUPS.items() for code in codes}
+    return _small(
+        spark,
+        [(code, group_of[code], label) for code, label in CAMEO_LABELS.items()],
+        "code, event_group, cameo_label",
+    )
 
 
 def country_asset_map(spark: SparkSession) -> DataFrame:
     return _small(
         spark,
         [(c, s) for c, symbols in COUNTRY_ASSETS.items() for s in symbols],
-        "country_code string, symbol string",
+        "country_code, symbol",
     )
 
 
@@ -246,16 +260,16 @@ def symbol_country_map(spark: SparkSession) -> DataFrame:
     return _small(
         spark,
         [(s, c) for s, countries in SYMBOL_COUNTRIES.items() for c in countries],
-        "symbol string, country_code string",
+        "symbol, country_code",
     )
 
 
 def source_normalization(spark: SparkSession) -> DataFrame:
-    return _small(spark, list(SOURCE_NAMES.items()), "raw string, canonical string")
+    return _small(spark, list(SOURCE_NAMES.items()), "raw, canonical")
 
 
 def series_config(spark: SparkSession) -> DataFrame:
-    return _small(spark, list(SERIES_NAMES.items()), "series_id string, series_name string")
+    return _small(spark, list(SERIES_NAMES.items()), "series_id, series_name")
 
 
 def fips_to_iso_map(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -263,7 +277,7 @@ def fips_to_iso_map(spark: SparkSession, path: str | None = None) -> DataFrame:
     path = path or spark.conf.get(FIPS_PATH_CONF, None)
     if path:
         return spark.read.csv(path, header=True, schema="fips string, iso string")
-    return _small(spark, list(FIPS_ISO.items()), "fips string, iso string")
+    return _small(spark, list(FIPS_ISO.items()), "fips, iso")
 
 
 def load_seeds(spark: SparkSession, folder: str | None = None) -> dict[str, DataFrame]:
@@ -297,7 +311,7 @@ def symbol_catalog(spark: SparkSession) -> DataFrame:
     return _small(
         spark,
         [(s, n, c) for c, names in SYMBOLS.items() for s, n in names.items()],
-        "symbol string, name string, category string",
+        "symbol, name, category",
     )
 
 
