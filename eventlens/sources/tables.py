@@ -192,10 +192,12 @@ def materialize_incremental(
     rows = df if since is None or not exists(spark, path) else df.filter(
         F.col(date_column) >= month_start(since)
     )
+    # A mart month is bounded (days x countries, symbols or sources), so months go to
+    # separate tasks and their files are written side by side.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        # Rebalancing joins small pieces of a month into one file and splits a heavy month.
         rows.withColumn("month", F.date_format(date_column, "yyyy-MM"))
-        .hint("rebalance", F.col("month"))
+        .repartition(tasks, "month")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("month")
