@@ -187,23 +187,17 @@ def promote_champion(registry: DataFrame, model: str, test_auc: float, path: str
     """
     spark = registry.sparkSession
     new = spark.createDataFrame([(model, test_auc, path)], "model string, test_auc double, path string")
-    stats = registry.agg(
-        F.coalesce(F.max("version"), F.lit(0)).alias("_last"),
-        F.max(F.when(F.col("is_champion"), F.col("test_auc"))).alias("_best"),
-    )
-    wins = F.col("_best").isNull() | (F.lit(test_auc) > F.col("_best"))
-    # The statistics are one row by construction.
-    judged = new.join(F.broadcast(stats), F.lit(True))
-    added = judged.select(
-        (F.col("_last") + 1).cast("int").alias("version"),
+    last = registry.agg(F.coalesce(F.max("version"), F.lit(0))).scalar()
+    best = registry.agg(F.max(F.when(F.col("is_champion"), F.col("test_auc")))).scalar()
+    wins = best.isNull() | (F.lit(test_auc) > best)
+    added = new.select(
+        (last + 1).cast("int").alias("version"),
         "model",
         "test_auc",
         wins.alias("is_champion"),
         "path",
     )
-    old = registry.join(F.broadcast(stats), F.lit(True)).withColumn(
-        "is_champion", F.col("is_champion") & ~wins
-    )
+    old = registry.withColumn("is_champion", F.col("is_champion") & ~wins)
     return old.select(*added.columns).unionByName(added)
 
 
