@@ -117,8 +117,9 @@ def _(f):
 
 
 def _split_sql(source: str, order: str) -> str:
+    # The cuts are int(n * 0.7) and int(n * 0.85) in binary floating point, not in decimals.
     return (
-        f"SELECT *, CASE WHEN pos < floor(n * 0.7) THEN 'train' WHEN pos < floor(n * 0.85) THEN 'val' ELSE 'test' END AS split "
+        f"SELECT *, CASE WHEN pos < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN pos < floor(n * CAST(0.85 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split "
         f"FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS pos, count(*) OVER () AS n FROM {source})"
     )
 
