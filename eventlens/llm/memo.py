@@ -20,12 +20,15 @@ class Memo(dict):
         """Values of ``words``, which are sorted and distinct."""
         raise NotImplementedError
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Make ``self[word]`` known for each of ``words``."""
-        words = set(words)
+    def turn(self) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Make ``self[word]`` known for all of ``words``, computing what is new in one go."""
+        words = set(words)
+        self.turn()
         unknown = []
         for word in words.difference(self):
             value = self.old.get(word)
@@ -37,8 +40,12 @@ class Memo(dict):
         self.update(zip(unknown, self.compute(unknown), strict=True))
 
     def __missing__(self, word: str):
-        self.learn([word])
-        return self[word]
+        self.turn()
+        value = self.old.get(word)
+        if value is None:
+            (value,) = self.compute([word])
+        self[word] = value
+        return value
 
 
 def slices(texts: list[str]) -> Iterator[list[str]]:

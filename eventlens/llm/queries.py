@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm import decontaminate, near_dedup, packing, token_counts
+from eventlens.llm import decontaminate, language, near_dedup, packing, quality, token_counts
 from eventlens.llm.storage import table
 
 QUERIES: dict = {}
@@ -50,3 +50,21 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    net = quality.trained(docs, table(spark, folder, "labels"))
+    return quality.scored(docs, net).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.predicted(docs, language.trained(docs)).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "lang_pred", "score"
+    )
