@@ -167,9 +167,13 @@ class Net:
     @classmethod
     def trained(
         cls, texts: list[list[bytes]], labels: np.ndarray, classes: int, widths: dict[int, int], pool: str,
-        repeats: bool, epochs: int = 6, size: int = 64, rate: float = 0.01, seed: int = 7,
+        repeats: bool, epochs: int = 6, steps: int = 350, size: int = 64, rate: float = 0.01, seed: int = 7,
     ) -> Net:
-        """Fits to ``texts`` (chunks of each, see ``cut_chunks``) with class numbers ``labels``."""
+        """Fits to ``texts`` (chunks of each, see ``cut_chunks``) with class numbers ``labels``.
+
+        ``epochs`` passes over them, or as many as ``steps`` updates need.
+        """
+        epochs = max(epochs, -(-steps * size // len(texts)))
         rng = np.random.default_rng(seed)
         bank, mask = Bank.of(widths, rng)
         f = len(bank.bias)
