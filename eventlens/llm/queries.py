@@ -6,7 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm import decontaminate, language, near_dedup, packing, quality, token_counts
+from eventlens.llm import (
+    decontaminate,
+    language,
+    near_dedup,
+    packing,
+    private_data,
+    quality,
+    token_counts,
+)
 from eventlens.llm.storage import table
 
 QUERIES: dict = {}
@@ -68,3 +76,17 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predicted(docs, language.trained(docs)).select(
         "doc_id", quality.held_out("doc_id").alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op2_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = private_data.private_spans(table(spark, folder, "documents"))
+    kinds = F.transform("base", lambda s: s.no)
+    counts = (
+        (F.size("base") - F.size(F.array_remove(kinds, no))).cast("long").alias(f"n_{kind}")
+        for no, kind in enumerate(private_data.KINDS)
+    )
+    return found.select(
+        "doc_id", *counts, F.sha2(private_data.listed("base").cast("binary"), 256).alias("base_sha256"),
+        private_data.listed("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_found"),
+    )
