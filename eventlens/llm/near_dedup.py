@@ -9,9 +9,9 @@ link is confirmed on the full shingle sets.
 
 Texts with equal sets are one node. In a bucket (nodes with one key) only stars are tested
 first; once those are confirmed and joined, a bucket inside one component needs nothing more.
-What remains is tested against further hubs, or, in small buckets, pair by pair, until no
-bucket holds two untested nodes of different components. So a large group of copies costs
-rows in proportion to its size and no link is lost.
+In any other bucket the nodes outside its largest component are tested against all nodes of
+other components, ``HUBS`` of them a round, until none is left. So a large group of copies
+costs rows in proportion to its size and no link is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm import storage
@@ -30,9 +30,8 @@ from eventlens.llm.components import components
 SHINGLE = 5
 CHUNKS, SYMBOLS = 8, 8
 PERMUTATIONS = CHUNKS * SYMBOLS
-#: Buckets of up to so many nodes are finished pair by pair, larger ones hub by hub.
-SMALL = 32
-HUBS = 4
+#: Nodes of a bucket that are tested against all its others in one round.
+HUBS = 32
 
 _rng = np.random.default_rng(85)
 _MULTIPLY = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * W.U64(2) + W.U64(1)
@@ -189,43 +188,42 @@ def near_duplicates(
     made = [nodes_at, buckets_at, sets_at, tested_at]
     left = buckets.where("size > 2").select("key", "node", "n")
     all_links = [links]
-    while True:
+    while not left.isEmpty():
         linked = components(reduce_union(all_links))
-        # Buckets whose nodes are not all in one component, with the component of each node.
         placed = left.join(linked, "node", "left").select(
             "key", "node", "n", F.coalesce("component", "node").alias("c")
         )
-        open_keys = placed.groupBy("key").agg(
-            F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size"),
-            *(F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(HUBS)),
-        ).where("c0 < c1").drop("c0", "c1")
-        now, now_at = storage.written(placed.join(open_keys, "key"), "open")
-        made.append(now_at)
-        if now.isEmpty():
-            break
-        mates = now.where(f"size <= {SMALL}").groupBy("key").agg(
-            F.collect_list(F.struct("node", "n", "c")).alias("all")
+        # Buckets with several components, and the largest of these.
+        mixed = (
+            placed.groupBy("key", "c").agg(F.count("*").alias("own"))
+            .groupBy("key").agg(F.max_by("c", F.struct("own", "c")).alias("most"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+            .where("c0 < c1").select("key", "most")
         )
-        small = (
-            mates.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y"))
-            .where("x.node < y.node and x.c <> y.c")
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+        now, now_at = storage.written(placed.join(mixed, "key"), "open")
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+        hubs, hubs_at = storage.written(
+            now.where("c <> most").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS + 1)
+            .select("key", "rank", F.struct("node", "n", "c").alias("h")), "hubs",
         )
-        hubs = F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS)))))
-        large = (
-            now.where(f"size > {SMALL}").select("node", "n", "c", hubs.alias("h")).where("h.c <> c")
+        fresh = (
+            now.join(hubs.where(F.col("rank") <= HUBS).groupBy("key").agg(F.collect_list("h").alias("hubs")), "key")
+            .select("node", "n", "c", F.explode("hubs").alias("h")).where("h.c <> c")
             .select(
                 F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"), "n", F.col("h.n").alias("m")
             )
+            .where(fitting).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         )
-        fresh = small.union(large).where(fitting).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         fresh, fresh_at = storage.written(fresh, "tested")
         links, links_at = storage.written(_similar(fresh, sets, percent), "links")
         all_links.append(links)
         tested = tested.union(fresh)
-        made += [fresh_at]
-        is_hub = " or ".join(f"node = h{i}.node" for i in range(HUBS))
-        left = now.where(f"size > {SMALL} and not ({is_hub})").select("key", "node", "n")
+        # Only buckets with more such nodes than were tested go on, without those tested.
+        more = now.join(hubs.where(F.col("rank") == HUBS + 1).select("key"), "key", "left_semi")
+        done = hubs.where(F.col("rank") <= HUBS).select("key", F.col("h.node").alias("node"))
+        left, left_at = storage.written(
+            more.join(done, ["key", "node"], "left_anti").select("key", "node", "n"), "left"
+        )
+        made += [now_at, hubs_at, fresh_at, left_at]
 
     # Texts of one id in several sets tie those sets together, as links do.
     named = texts.where("n > 0 and id is not null").join(nodes.select("set_id", "node"), "set_id")

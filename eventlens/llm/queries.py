@@ -13,7 +13,9 @@ from eventlens.llm import (
     packing,
     private_data,
     quality,
+    repeats,
     token_counts,
+    topk,
 )
 from eventlens.llm.storage import table
 
@@ -90,3 +92,32 @@ def op2_private_data(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *counts, F.sha2(private_data.listed("base").cast("binary"), 256).alias("base_sha256"),
         private_data.listed("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_found"),
     )
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), every=20, k=20)
+
+
+ORACLE["op3_exact_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.e, r.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id
+), t AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
+"""
+
+
+@query
+def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
