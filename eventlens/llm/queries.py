@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventlens.llm import (
     decontaminate,
     language,
+    licences,
     near_dedup,
     packing,
     private_data,
@@ -121,3 +122,8 @@ def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licences(table(spark, folder, "documents"))
