@@ -7,11 +7,13 @@ together every such pair, for any data. At a similarity of 0.85 a pair differs i
 on average and shares a key with probability 0.9998; every shared key is followed up and every
 link is confirmed on the full shingle sets.
 
-Texts with equal sets are one node. In a bucket (nodes with one key) only stars are tested
-first; once those are confirmed and joined, a bucket inside one component needs nothing more.
-In any other bucket the nodes outside its largest component are tested against all nodes of
-other components, ``HUBS`` of them a round, until none is left. So a large group of copies
-costs rows in proportion to its size and no link is lost.
+Texts with equal sets are one node. In each bucket (nodes with one key) all nodes are first
+tested against one of them. Nodes that buckets tie together are a family, so every pair with a
+shared key lies in one family. Where the confirmed links leave a family in several components,
+every node outside the largest one is tested against all nodes of the family, in blocks of a
+fixed size whose rows are sets, not pairs. That settles every pair that could still join two
+components, so no link between components is lost, and a large group of copies that hangs
+together costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm import storage
@@ -30,8 +32,10 @@ from eventlens.llm.components import components
 SHINGLE = 5
 CHUNKS, SYMBOLS = 8, 8
 PERMUTATIONS = CHUNKS * SYMBOLS
-#: Nodes of a bucket that are tested against all its others in one round.
-HUBS = 32
+#: Nodes of one block of a family, on either side.
+OUTER, ALL = 256, 1024
+#: Shared shingles counted at a time.
+MATCHES = 4_000_000
 
 _rng = np.random.default_rng(85)
 _MULTIPLY = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * W.U64(2) + W.U64(1)
@@ -146,6 +150,72 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _counted(outer: pa.Table, every: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``outer`` and ``every`` of similar pairs, by counting shared shingles."""
+    def flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        listed = table["shingles"].combine_chunks()
+        sizes = np.diff(listed.offsets.to_numpy())
+        return listed.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), sizes
+
+    values, owner, sizes = flat(outer)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    others, other_owner, other_sizes = flat(every)
+    lo, hi = np.searchsorted(values, others), np.searchsorted(values, others, "right")
+    ends = np.concatenate([[0], np.cumsum(other_sizes)])
+    load = np.concatenate([[0], np.cumsum(hi - lo)])[ends]
+    first = 0
+    while first < len(other_sizes):
+        last = max(first + 1, int(np.searchsorted(load, load[first] + MATCHES, "right")) - 1)
+        part = slice(ends[first], ends[last])
+        counts = (hi - lo)[part]
+        at = np.repeat(lo[part] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        pair = owner[at] * (last - first) + np.repeat(other_owner[part] - first, counts)
+        both = np.bincount(pair, minlength=len(sizes) * (last - first)).reshape(len(sizes), -1)
+        union = sizes[:, None] + other_sizes[None, first:last] - both
+        x, y = np.nonzero((both > 0) & (both * 100 >= union * percent))
+        yield x, y + first
+        first = last
+
+
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between nodes of one family and different components (``node, family, c``)."""
+    mixed = (
+        placed.groupBy("family", "c").agg(F.count("*").alias("own"))
+        .groupBy("family").agg(F.max_by("c", F.struct("own", "c")).alias("most"), F.sum("own").alias("size"), F.max("own").alias("top"))
+        .where("top < size")
+    )
+    rows = placed.join(mixed, "family").withColumn("outer", F.col("c") != F.col("most"))
+    rows = rows.withColumn("outers", F.ceil((F.col("size") - F.col("top")) / OUTER)).withColumn("alls", F.ceil(F.col("size") / ALL))
+    dealt = F.xxhash64("node")
+    side = rows.select("node", "family", "c", "outer", "outers", "alls").join(sets, "node")
+    blocks_of_all = side.select(
+        "family", F.explode(F.sequence(F.lit(0), F.col("outers") - 1)).alias("o"), F.pmod(dealt, "alls").alias("e"),
+        F.lit(False).alias("outer"), "node", "c", "shingles",
+    )
+    blocks_of_outer = side.where("outer").select(
+        "family", F.pmod(dealt, "outers").alias("o"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("e"),
+        F.lit(True).alias("outer"), "node", "c", "shingles",
+    )
+
+    def test(table: pa.Table) -> pa.Table:
+        is_outer = table["outer"].to_numpy()
+        outer, every = table.filter(pa.array(is_outer)), table.filter(pa.array(~is_outer))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if outer.num_rows and every.num_rows:
+            x_node, x_c = outer["node"].to_numpy(), outer["c"].to_numpy()
+            y_node, y_c = every["node"].to_numpy(), every["c"].to_numpy()
+            for x, y in _counted(outer, every, percent):
+                apart = x_c[x] != y_c[y]
+                a.append(x_node[x[apart]]), b.append(y_node[y[apart]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}).cast(
+            pa.schema([("a", table.schema.field("node").type), ("b", table.schema.field("node").type)])
+        )
+
+    kind = placed.schema["node"].dataType.simpleString()
+    return blocks_of_all.union(blocks_of_outer).groupBy("family", "o", "e").applyInArrow(test, f"a {kind}, b {kind}")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85
 ) -> DataFrame:
@@ -159,71 +229,30 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     texts, _ = storage.written(described(docs, id_col, text_col), "sets")
-    node = F.min("id").alias("node")
-    nodes = texts.where("n > 0 and id is not null").groupBy("set_id").agg(
-        node, F.first("n").alias("n"), F.first("sig").alias("sig")
+    # An id given to several texts may be the least id of several sets; it is one node then.
+    nodes, nodes_at = storage.written(
+        texts.where("n > 0 and id is not null").groupBy("set_id")
+        .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes",
     )
-    nodes, nodes_at = storage.written(nodes, "nodes")
-    # An id given to several texts is several nodes' least id; they are one node from here on.
     keys = keyed(nodes)
-    shared = (
-        keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("size"))
-        .where("hub < top")
+    hubs = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top")
+    stars, stars_at = storage.written(
+        keys.join(hubs.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(),
+        "stars",
     )
-    buckets, buckets_at = storage.written(
-        keys.join(shared.select("key", "hub", "size"), "key").select("key", "node", "n", "hub", "size"), "buckets"
-    )
-    wanted = buckets.select(F.col("node").alias(id_col)).distinct()
+    families, families_at = storage.written(components(stars), "families")
+    wanted = stars.select(F.col("a").alias(id_col)).union(stars.select("b")).distinct()
     own = docs.select(id_col, text_col).join(wanted, id_col, "left_semi")
     sets, sets_at = storage.written(full_sets(own, id_col, text_col), "shingles")
-    fitting = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-
-    sizes = nodes.select(F.col("node").alias("hub"), F.col("n").alias("m"))
-    stars = (
-        buckets.where("node <> hub").select("node", "n", "hub").distinct().join(sizes, "hub")
-        .where(fitting).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links, links_at = storage.written(_similar(stars, sets, percent), "links")
+    placed = sets.select("node").distinct().join(families.withColumnRenamed("component", "family"), "node", "left")
+    placed = placed.withColumn("family", F.coalesce("family", "node")).join(components(links), "node", "left")
+    placed, placed_at = storage.written(
+        placed.select("node", "family", F.coalesce("component", "node").alias("c")), "placed"
     )
-    tested, tested_at = storage.written(stars, "tested")
-    links, links_at = storage.written(_similar(tested, sets, percent), "links")
-    made = [nodes_at, buckets_at, sets_at, tested_at]
-    left = buckets.where("size > 2").select("key", "node", "n")
-    all_links = [links]
-    while not left.isEmpty():
-        linked = components(reduce_union(all_links))
-        placed = left.join(linked, "node", "left").select(
-            "key", "node", "n", F.coalesce("component", "node").alias("c")
-        )
-        # Buckets with several components, and the largest of these.
-        mixed = (
-            placed.groupBy("key", "c").agg(F.count("*").alias("own"))
-            .groupBy("key").agg(F.max_by("c", F.struct("own", "c")).alias("most"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-            .where("c0 < c1").select("key", "most")
-        )
-        now, now_at = storage.written(placed.join(mixed, "key"), "open")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        hubs, hubs_at = storage.written(
-            now.where("c <> most").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS + 1)
-            .select("key", "rank", F.struct("node", "n", "c").alias("h")), "hubs",
-        )
-        fresh = (
-            now.join(hubs.where(F.col("rank") <= HUBS).groupBy("key").agg(F.collect_list("h").alias("hubs")), "key")
-            .select("node", "n", "c", F.explode("hubs").alias("h")).where("h.c <> c")
-            .select(
-                F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"), "n", F.col("h.n").alias("m")
-            )
-            .where(fitting).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        )
-        fresh, fresh_at = storage.written(fresh, "tested")
-        links, links_at = storage.written(_similar(fresh, sets, percent), "links")
-        all_links.append(links)
-        tested = tested.union(fresh)
-        # Only buckets with more such nodes than were tested go on, without those tested.
-        more = now.join(hubs.where(F.col("rank") == HUBS + 1).select("key"), "key", "left_semi")
-        done = hubs.where(F.col("rank") <= HUBS).select("key", F.col("h.node").alias("node"))
-        left, left_at = storage.written(
-            more.join(done, ["key", "node"], "left_anti").select("key", "node", "n"), "left"
-        )
-        made += [now_at, hubs_at, fresh_at, left_at]
+    more, more_at = storage.written(_across(placed, sets, percent), "links")
+    made = [nodes_at, stars_at, families_at, sets_at, placed_at]
+    all_links = [links, more]
 
     # Texts of one id in several sets tie those sets together, as links do.
     named = texts.where("n > 0 and id is not null").join(nodes.select("set_id", "node"), "set_id")
