@@ -61,6 +61,13 @@ def trained(
     return Net.trained(texts, np.array(truth), 2, WIDTHS, pool="document", repeats=True)
 
 
+def probabilities(net: Net | None, texts: pa.Array) -> np.ndarray:
+    if net is None:
+        return np.full(len(texts), 0.5)
+    found = [net.scores(data, offsets)[:, 1] for _, data, offsets in W.runs(texts)]
+    return np.concatenate([np.zeros(0), *found]).astype(np.float64)
+
+
 def scored(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score``: the probability that a whole text is good.
 
@@ -70,16 +77,21 @@ def scored(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
         for batch in batches:
-            out = [np.full(0, 0.5)]
-            if net is None:
-                out.append(np.full(batch.num_rows, 0.5))
-            else:
-                out += [net.scores(data, offsets)[:, 1] for _, data, offsets in W.runs(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(out).astype(np.float64))], names=[id_col, "score"]
-            )
+            found = pa.array(probabilities(shared.value, batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {kind}, score double")
+
+
+def accepted(docs: DataFrame, net: Net | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text scores ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    column = docs.columns.index(text_col)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(shared.value, batch.column(column)) >= least))
+
+    return docs.mapInArrow(choose, docs.schema)
