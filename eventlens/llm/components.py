@@ -22,7 +22,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("a", F.col("m").alias("b")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _is_done(edges: DataFrame) -> bool:
+    """Whether each node has one edge, to a node that has none of its own: only stars are left."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    roles = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """``node, component`` for each node of ``edges`` (``a, b``) but the least of each component.
 
     The component is its least node. Edges may repeat and stand either way round; loops and
@@ -33,14 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     now, path = storage.written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "edges",
+        "edges", tasks,
     )
-    seen = None
-    while True:
-        sums = now.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(a, b) as decimal(38, 0))"))).first()
-        if tuple(sums) == seen or not sums[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = tuple(sums)
-        after, to = storage.written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+    while not _is_done(now):
+        after, to = storage.written(_small_star(_large_star(now)).distinct(), "edges", tasks)
         storage.drop(spark, path)
         now, path = after, to
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -36,6 +36,7 @@ PERMUTATIONS = CHUNKS * SYMBOLS
 OUTER, ALL = 256, 1024
 #: Shared shingles counted at a time.
 MATCHES = 4_000_000
+NODES_A_TASK = 10_000
 
 _rng = np.random.default_rng(85)
 _MULTIPLY = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * W.U64(2) + W.U64(1)
@@ -179,7 +180,7 @@ def _counted(outer: pa.Table, every: pa.Table, percent: int) -> Iterator[tuple[n
 
 
 def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` between nodes of one family and different components (``node, family, c``)."""
+    """Pairs ``a, b`` of components of one family between which there is a link (``node, family, c``)."""
     mixed = (
         placed.groupBy("family", "c").agg(F.count("*").alias("own"))
         .groupBy("family").agg(F.max_by("c", F.struct("own", "c")).alias("most"), F.sum("own").alias("size"), F.max("own").alias("top"))
@@ -191,11 +192,11 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = rows.select("node", "family", "c", "outer", "outers", "alls").join(sets, "node")
     blocks_of_all = side.select(
         "family", F.explode(F.sequence(F.lit(0), F.col("outers") - 1)).alias("o"), F.pmod(dealt, "alls").alias("e"),
-        F.lit(False).alias("outer"), "node", "c", "shingles",
+        F.lit(False).alias("outer"), "c", "shingles",
     )
     blocks_of_outer = side.where("outer").select(
         "family", F.pmod(dealt, "outers").alias("o"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("e"),
-        F.lit(True).alias("outer"), "node", "c", "shingles",
+        F.lit(True).alias("outer"), "c", "shingles",
     )
 
     def test(table: pa.Table) -> pa.Table:
@@ -203,13 +204,13 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         outer, every = table.filter(pa.array(is_outer)), table.filter(pa.array(~is_outer))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if outer.num_rows and every.num_rows:
-            x_node, x_c = outer["node"].to_numpy(), outer["c"].to_numpy()
-            y_node, y_c = every["node"].to_numpy(), every["c"].to_numpy()
+            x_c, y_c = outer["c"].to_numpy(), every["c"].to_numpy()
             for x, y in _counted(outer, every, percent):
                 apart = x_c[x] != y_c[y]
-                a.append(x_node[x[apart]]), b.append(y_node[y[apart]])
+                pairs = np.unique(np.stack([x_c[x[apart]], y_c[y[apart]]]), axis=1)
+                a.append(pairs[0]), b.append(pairs[1])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}).cast(
-            pa.schema([("a", table.schema.field("node").type), ("b", table.schema.field("node").type)])
+            pa.schema([("a", table.schema.field("c").type), ("b", table.schema.field("c").type)])
         )
 
     kind = placed.schema["node"].dataType.simpleString()
@@ -234,44 +235,46 @@ def near_duplicates(
         texts.where("n > 0 and id is not null").groupBy("set_id")
         .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes",
     )
+    # Tables of nodes and of a few rows for each node are written by so many tasks.
+    tasks = max(24, nodes.count() // NODES_A_TASK)
+    members, members_at = storage.written(
+        texts.where("n > 0 and id is not null").join(nodes.select("set_id", "node"), "set_id").select("id", "node"),
+        "members", tasks,
+    )
     keys = keyed(nodes)
     hubs = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top")
     stars, stars_at = storage.written(
         keys.join(hubs.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(),
-        "stars",
+        "stars", tasks,
     )
-    families, families_at = storage.written(components(stars), "families")
     wanted = stars.select(F.col("a").alias(id_col)).union(stars.select("b")).distinct()
-    own = docs.select(id_col, text_col).join(wanted, id_col, "left_semi")
+    # These ids grow with the corpus; the join is the same at every size, never a broadcast.
+    own = docs.select(id_col, text_col).join(wanted.hint("merge"), id_col, "left_semi")
     sets, sets_at = storage.written(full_sets(own, id_col, text_col), "shingles")
-    links, links_at = storage.written(_similar(stars, sets, percent), "links")
-    placed = sets.select("node").distinct().join(families.withColumnRenamed("component", "family"), "node", "left")
-    placed = placed.withColumn("family", F.coalesce("family", "node")).join(components(links), "node", "left")
+    links, links_at = storage.written(_similar(stars, sets, percent), "links", tasks)
+    # Texts of one id in several sets tie those sets together, as links do.
+    several = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top")
+    ties = members.join(several, "id").where("node <> a").select("a", F.col("node").alias("b"))
+    linked = components(links.union(ties), tasks)
+    families = components(stars, tasks).withColumnRenamed("component", "family")
+    placed = sets.select("node").distinct().join(families, "node", "left").join(linked, "node", "left")
     placed, placed_at = storage.written(
-        placed.select("node", "family", F.coalesce("component", "node").alias("c")), "placed"
+        placed.select("node", F.coalesce("family", "node").alias("family"), F.coalesce("component", "node").alias("c")),
+        "placed", tasks,
     )
-    more, more_at = storage.written(_across(placed, sets, percent), "links")
-    made = [nodes_at, stars_at, families_at, sets_at, placed_at]
-    all_links = [links, more]
-
-    # Texts of one id in several sets tie those sets together, as links do.
-    named = texts.where("n > 0 and id is not null").join(nodes.select("set_id", "node"), "set_id")
-    by_id, by_id_at = storage.written(named.select("id", "node").distinct(), "members")
-    ties = by_id.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    linked = components(reduce_union([*all_links, ties]))
-    out = (
-        texts.select("id", "n").join(linked.withColumnRenamed("node", "id"), "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
+    # Links between components, told as pairs of components.
+    across = components(_across(placed, sets, percent).distinct(), tasks).withColumnRenamed("component", "last")
+    joined = linked.join(across.withColumnRenamed("node", "component"), "component", "left").select(
+        "node", F.coalesce("last", "component").alias("component")
     )
-    storage.drop(spark, *made, by_id_at)
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
-        F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"),
+    # Nodes that were the least of their component may have been joined to another.
+    heads = across.join(linked, "node", "left_anti").select("node", F.col("last").alias("component"))
+    of_node = joined.union(heads)
+    of_id = members.join(of_node, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    of_id = of_id.groupBy("id").agg(F.min("component").alias("component"))
+    out = texts.select("id", "n").join(of_id, "id", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
-
-
-def reduce_union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+    out = out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+    storage.drop(spark, nodes_at, stars_at, sets_at, links_at, placed_at)
     return out

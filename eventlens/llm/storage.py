@@ -27,11 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, tasks: int | None = None) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, read back, and the table's path.
 
-    Cuts the lineage: what is lost later is read again, not computed again.
+    Cuts the lineage: what is lost later is read again, not computed again. ``tasks`` bounds
+    the files of a table whose number of rows is known to be small for them.
     """
+    df = df.coalesce(tasks) if tasks else df
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/eventlens-llm/{name}-{uuid.uuid4().hex}"
     schema = df.schema
