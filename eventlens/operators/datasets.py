@@ -10,6 +10,7 @@ from eventlens.functions import expressions as X
 from eventlens.operators import features
 from eventlens.operators.market import symbols_of_countries
 from eventlens.operators.patterns import event_countries
+from eventlens.session import checkpoint
 
 TRAIN, VALIDATION = 0.7, 0.15
 SPLIT_BUCKETS = 1024
@@ -62,49 +63,46 @@ def chronological_split(
 ) -> DataFrame:
     """Add ``split`` by position after sorting on date: first 70 %, next 15 %, rest.
 
-    The cuts fall at positions int(0.7 n) and int(0.85 n). A row's position is the count
-    before its date (running total over one row per date), plus the count before its
-    ``bucket`` within the date, plus its rank in the bucket. Only a bucket is ever sorted
-    in one task; pass a spreading ``bucket`` where one date may hold many rows.
+    The cuts fall at positions int(0.7 n) and int(0.85 n). A running total over one row per
+    date tells which dates lie before, between or after the cuts; their rows are compared by
+    date alone. Only on the one or two dates that a cut falls into are rows ranked, a
+    ``bucket`` at a time; pass a spreading one where a date may hold many rows.
     """
-    spread = df.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
-    counts = spread.groupBy(day, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    low, high = (F.floor(F.col("_total") * share) for share in (TRAIN, TRAIN + VALIDATION))
+    first, last = F.col("_before"), F.col("_before") + F.col("_day_n")
     days = (
-        counts.groupBy(day)
-        .agg(F.sum("_n").alias("_day_n"))
-        .select(
-            day,
-            F.coalesce(F.sum("_day_n").over(earlier), F.lit(0)).alias("_days_before"),
-            F.sum("_day_n").over(Window.partitionBy(F.lit(1))).alias("_total"),
+        df.groupBy(day)
+        .agg(F.count(F.lit(1)).alias("_day_n"))
+        .withColumn("_before", F.coalesce(F.sum("_day_n").over(earlier), F.lit(0)))
+        .withColumn("_total", F.sum("_day_n").over(Window.partitionBy(F.lit(1))))
+        .withColumn("_low", low)
+        .withColumn("_high", high)
+        .withColumn(
+            "split",
+            F.when(last <= F.col("_low"), "train")
+            .when((first >= F.col("_low")) & (last <= F.col("_high")), "val")
+            .when(first >= F.col("_high"), "test"),
         )
+        .select(day, "_before", "_low", "_high", "split")
     )
-    within = Window.partitionBy(day).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    dated = df.join(days, day)
+    whole = dated.where(F.col("split").isNotNull())
+    cut = dated.where(F.col("split").isNull()).withColumn(
+        "_bucket", F.lit(0) if bucket is None else bucket
     )
-    placed = (
-        counts.withColumn("_in_day", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-        .join(days, day)
-        .select(
-            day,
-            "_bucket",
-            (F.col("_days_before") + F.col("_in_day")).alias("_before"),
-            F.floor(F.col("_total") * TRAIN).alias("_low"),
-            F.floor(F.col("_total") * (TRAIN + VALIDATION)).alias("_high"),
-        )
+    within = Window.partitionBy(day).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(day, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
+        day, "_bucket", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_in_day")
     )
     rank = F.row_number().over(Window.partitionBy(day, "_bucket").orderBy(*order)) - 1
-    position = F.col("_before") + rank
-    return (
-        spread.join(placed, [day, "_bucket"])
-        .withColumn(
-            "split",
-            F.when(position < F.col("_low"), "train")
-            .when(position < F.col("_high"), "val")
-            .otherwise("test"),
-        )
-        .drop("_bucket", "_before", "_low", "_high")
+    position = F.col("_before") + F.col("_in_day") + rank
+    ranked = cut.join(counts, [day, "_bucket"]).withColumn(
+        "split",
+        F.when(position < F.col("_low"), "train").when(position < F.col("_high"), "val").otherwise("test"),
     )
+    out = [*df.columns, "split"]
+    return whole.select(*out).union(ranked.select(*out))
 
 
 def flat_dataset(
@@ -251,13 +249,16 @@ def backward_n_rows_join(market: DataFrame, pairs: DataFrame) -> DataFrame:
 def label_encode_symbol(df: DataFrame, present: DataFrame | None = None) -> DataFrame:
     """Index of the symbol in the sorted list of symbols present.
 
-    ``present`` may name them from a smaller table, to spare a second pass over ``df``.
+    ``present`` may name them from a smaller table, to spare a second pass over ``df``. The
+    list is as long as the catalog, so it is looked up in each row: no row moves by its symbol.
     """
-    present = (df if present is None else present).select("symbol").distinct()
-    ids = present.select(
-        "symbol", (F.row_number().over(Window.orderBy("symbol")) - 1).alias("symbol_id")
+    listed = (df if present is None else present).agg(
+        F.sort_array(F.collect_set("symbol")).alias("symbols")
+    )
+    place = F.array_position(listed.scalar(), F.col("symbol"))
+    return df.where(F.col("symbol").isNotNull()).withColumn("symbol_id", (place - 1).cast("int")).where(
+        "symbol_id >= 0"
     )
-    return df.join(ids, "symbol")
 
 
 def event_asset_dataset(
@@ -286,8 +287,9 @@ def event_asset_dataset(
         *[F.col(c).cast("double").alias(c) for c in PAIR_FEATURES],
         "target",
     ).dropna(subset=PAIR_FEATURES)
+    # The split reads its rows twice; the pair joins run once.
     return chronological_split(
-        rows,
+        checkpoint(rows),
         "event_date",
         ["event_id", "source_url", "symbol"],
         bucket=F.pmod("event_id", F.lit(SPLIT_BUCKETS)),

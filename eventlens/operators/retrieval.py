@@ -21,6 +21,9 @@ MAX_DISTANCE = 0.9
 DIMENSIONS = 384
 MAX_CONTEXT_CHARS = 4000
 MAX_QUERIES = 4096
+# Queries scored at a time, so that a block of distances stays small.
+TILE = 64
+# ---- fixed values: the briefing topics ------------------------------------------------
 TOPICS = [
     "military conflict and armed confrontation",
     "diplomatic negotiations and peace talks",
@@ -73,19 +76,21 @@ def cosine_topk(
             ids = batch.column(0).take(pa.array(ok))
             unit = x[ok] / size[ok, None]
             # Summed row by row so that equal vectors score equally wherever they sit.
-            distance = np.round(1 - np.einsum("nd,qd->qn", unit, matrix), 12)
             order = np.array(ids.to_pylist(), dtype=object)
-            for name, d in zip(names, distance, strict=True):
-                cut = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-                near = sorted(np.flatnonzero(d <= cut), key=lambda i: (d[i], order[i]))[:k]
-                yield pa.record_batch(
-                    [
-                        pa.array([name] * len(near), pa.string()),
-                        ids.take(pa.array(near, pa.int64())),
-                        pa.array(d[near], pa.float64()),
-                    ],
-                    names=["query_id", id_column, "distance"],
-                )
+            for first in range(0, len(names), TILE):
+                tile = slice(first, first + TILE)
+                distance = np.round(1 - np.einsum("nd,qd->qn", unit, matrix[tile]), 12)
+                for name, d in zip(names[tile], distance, strict=True):
+                    cut = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+                    near = sorted(np.flatnonzero(d <= cut), key=lambda i: (d[i], order[i]))[:k]
+                    yield pa.record_batch(
+                        [
+                            pa.array([name] * len(near), pa.string()),
+                            ids.take(pa.array(near, pa.int64())),
+                            pa.array(d[near], pa.float64()),
+                        ],
+                        names=["query_id", id_column, "distance"],
+                    )
 
     local = (
         corpus.filter(F.col(vector_column).isNotNull())
@@ -98,8 +103,8 @@ def cosine_topk(
 
 
 def _documents(corpus: DataFrame, near: DataFrame, id_column: str) -> DataFrame:
-    # ``near`` holds at most k rows per query, a bound checked in ``cosine_topk``.
-    return corpus.join(F.broadcast(near), id_column)
+    # k rows for each query: Spark sees the size when it picks the join.
+    return corpus.join(near, id_column)
 
 
 def search_headlines(
@@ -286,13 +291,9 @@ def briefing_context(
 
 
 # ---- enrichment ---------------------------------------------------------------------------
-def pending_rows(df: DataFrame, column: str, newest: str, cap: int | None = None) -> DataFrame:
-    """Rows still without ``column``, newest first; a cap bounds one run's work."""
-    rows = df.filter(F.col(column).isNull())
-    if cap is None:
-        return rows
-    ties = [F.col(c) for c in ("id", "source_url") if c in df.columns]
-    return rows.orderBy(F.col(newest).desc_nulls_first(), *ties).limit(cap)
+def pending_rows(df: DataFrame, column: str) -> DataFrame:
+    """Rows still without ``column``."""
+    return df.filter(F.col(column).isNull())
 
 
 def score_sentiment(

@@ -91,7 +91,7 @@ def enrich(spark: SparkSession, root: str, load_scorer=None) -> int:
     """Score headlines that have no sentiment yet; returns how many."""
     path = f"{root}/bronze/news_headlines"
     heads = tables.read_table(spark, path)
-    pending = retrieval.pending_rows(heads, "sentiment_score", "published_at")
+    pending = retrieval.pending_rows(heads, "sentiment_score")
     scored = checkpoint(
         retrieval.score_sentiment(pending.select("url", "headline"), "headline", load_scorer).drop(
             "headline"

@@ -39,14 +39,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Iterative fits read their input many times. The cluster names the folder in
-    ``spark.checkpoint.dir``; only where it is unset (tests) a local one is made.
+    ``spark.checkpoint.dir``; where it is unset, a folder of this machine is made if all of
+    Spark runs here (tests), and a cluster is refused: its executors would each write to
+    their own disk.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventlens-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="eventlens-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

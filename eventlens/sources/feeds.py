@@ -37,10 +37,15 @@ EVENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in EVENT_COL
 MIN_MENTIONS = 200
 
 
+# Lines with too few or too many fields are dropped. Without column pruning the parser sees
+# every field of a line, so what a query selects doesn't change which lines are malformed.
+TSV_OPTIONS = {"sep": "\t", "quote": "", "mode": "DROPMALFORMED", "columnPruning": "false"}
+
+
 # ---- events ----------------------------------------------------------------------------
 def read_event_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Headerless tab-separated export, every column a string, malformed lines dropped."""
-    return spark.read.csv(path, schema=EVENT_SCHEMA, sep="\t", mode="DROPMALFORMED", quote="")
+    return spark.read.options(**TSV_OPTIONS).csv(path, schema=EVENT_SCHEMA)
 
 
 def read_event_zip(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -79,9 +84,10 @@ def read_event_range(spark: SparkSession, folder: str, start, end) -> DataFrame:
     days = pd.date_range(start, end, freq="D").strftime("%Y%m%d")
     globs = "{" + ",".join(days) + "}.*"
     return (
-        spark.read.option("ignoreMissingFiles", "true")
+        spark.read.options(**TSV_OPTIONS)
+        .option("ignoreMissingFiles", "true")
         .option("pathGlobFilter", globs)
-        .csv(folder, schema=EVENT_SCHEMA, sep="\t", mode="DROPMALFORMED", quote="")
+        .csv(folder, schema=EVENT_SCHEMA)
     )
 
 

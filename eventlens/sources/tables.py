@@ -211,29 +211,45 @@ def upsert_by_month(
     """Update-or-insert that rewrites only the month partitions ``new`` touches.
 
     A few days of late or repeated rows touch one or two months, whatever the size of the
-    table. A key is expected to keep its date. The merged months are written to the
-    checkpoint folder first, so the partitions being replaced are never also being read.
+    table. A key whose date moves leaves its stored month for the new one: the stored months
+    of the arriving keys are looked up in the key columns alone. The merged months are
+    written to the checkpoint folder first, so the partitions being replaced are never also
+    being read.
     """
     incoming = new.dropna(subset=[*keys, date_column]).withColumn(
         "month", F.date_format(date_column, "yyyy-MM")
     )
     merged = incoming
     if exists(spark, path):
-        months = [r["month"] for r in incoming.select("month").distinct().collect()]
-        old = spark.read.parquet(path).filter(F.col("month").isin(months))
-        old = old.withColumn("month", F.col("month").cast("string"))
-        merged = merge_by_key(old, incoming, keys)
+        stored = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+        moved = stored.select(*keys, "month").join(incoming.select(*keys), keys, "left_semi")
+        touched = incoming.select("month").union(moved.select("month")).distinct()
+        months = [r["month"] for r in touched.collect()]
+        old = stored.filter(F.col("month").isin(months))
+        merged = merge_by_key(old, incoming, keys).withColumn(
+            "month", F.date_format(date_column, "yyyy-MM")
+        )
     else:
+        months = []
         order = [F.col(c).desc_nulls_last() for c in incoming.columns if c not in keys]
         merged = keep_best(incoming, keys, order)
+    merged = checkpoint(merged)
     (
-        checkpoint(merged)
-        .hint("rebalance", F.col("month"))
+        merged.hint("rebalance", F.col("month"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("month")
         .parquet(path)
     )
+    # Months that lost their last row have nothing to overwrite them with.
+    written = {r["month"] for r in merged.select("month").distinct().collect()}
+    drop_months(spark, path, sorted(set(months) - written))
+
+
+def drop_months(spark: SparkSession, path: str, months: list[str]) -> None:
+    for month in months:
+        fs, p = _fs(spark, f"{path}/month={month}")
+        fs.delete(p, True)
 
 
 def month_start(day) -> Column:

@@ -22,7 +22,7 @@ def read_event_stream(
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     if schema is not None:
         return reader.schema(schema).parquet(folder)
-    raw = reader.schema(feeds.EVENT_SCHEMA).csv(folder, sep="\t", mode="DROPMALFORMED", quote="")
+    raw = reader.schema(feeds.EVENT_SCHEMA).options(**feeds.TSV_OPTIONS).csv(folder)
     return feeds.land_events(raw)
 
 

@@ -233,11 +233,11 @@ def _(f):
 
 @query(
     "pending_rows",
-    q("SELECT id, published_at FROM b_news_headlines WHERE sentiment_score IS NULL ORDER BY published_at DESC, id LIMIT 5000",
+    q("SELECT id, published_at FROM b_news_headlines WHERE sentiment_score IS NULL",
       "b_news_headlines"),
 )
 def _(f):
-    return retrieval.pending_rows(f.bronze_headlines, "sentiment_score", "published_at", 5000).select(
+    return retrieval.pending_rows(f.bronze_headlines, "sentiment_score").select(
         "id", "published_at"
     )
 
