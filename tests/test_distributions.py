@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from eventlens.functions import distributions as d
@@ -28,6 +31,27 @@ def test_signed_rank():
     assert d.wilcoxon_p(np.array([1, 2, 3, 4, 5, -6.0])) == pytest.approx(28 / 64)
 
 
+@pytest.mark.parametrize("n", [5, 6, 12])
+def test_signed_rank_equals_all_sign_patterns(n):
+    rng = np.random.default_rng(n)
+    for sample in (rng.normal(size=n), np.round(rng.normal(size=n) * 2), np.array([0, 0, *range(1, n - 1)])):
+        x = sample[sample != 0]
+        ranks = pd.Series(np.abs(x)).rank().to_numpy()
+        totals = ((np.arange(2 ** len(x))[:, None] >> np.arange(len(x))) & 1) @ ranks
+        low = min(ranks[x > 0].sum(), ranks[x < 0].sum())
+        assert d.wilcoxon_p(sample) == pytest.approx(min(1, 2 * np.mean(totals <= low + 1e-9)))
+
+
+def test_signed_rank_of_long_samples():
+    for n in (17, 40, 300):
+        x = np.arange(1.0, n + 1)
+        assert d.wilcoxon_p(x) == pytest.approx(2 / 2.0**n)
+        even = x * (-1) ** np.arange(n)
+        low = min(even[even > 0].sum(), -even[even < 0].sum())
+        z = (low + 0.5 - n * (n + 1) / 4) / np.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+        assert d.wilcoxon_p(even) == pytest.approx(1 + math.erf(z / 2**0.5), abs=0.01)
+
+
 def test_logit_gradient_vanishes():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(80, 3))

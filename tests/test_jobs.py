@@ -16,18 +16,20 @@ from eventlens.sources import feeds, tables
 from eventlens.streaming import jobs
 
 
-def _line(i: int, day="20200105", mentions="500", actor="USAGOV", columns=58) -> str:
+def _line(i: int, day="20200105", mentions="500", actor="USAGOV", columns=58, more=()) -> str:
     row = dict.fromkeys(feeds.EVENT_COLUMNS, "")
     row |= {
         "GlobalEventID": str(i), "Day": day, "Actor1Code": actor, "EventRootCode": "19", "IsRootEvent": "1",
         "GoldsteinScale": "-5.5", "NumMentions": mentions, "NumSources": "3", "AvgTone": "-1.5",
         "ActionGeo_CountryCode": "RS", "SOURCEURL": 'http://x/"q"',
     }
-    return "\t".join(list(row.values())[:columns])
+    return "\t".join([*list(row.values())[:columns], *more])
 
 
 def test_event_files(spark, tmp_path):
     text = "\n".join([_line(1), _line(2, mentions="10"), _line(3, actor=""), _line(4, day="2020"), _line(5, columns=20)])
+    # Malformed though all fields that landing reads are there.
+    text += "\n" + _line(6, columns=40) + "\n" + _line(7, more=("x", "y"))
     (tmp_path / "20200105.export.CSV").write_text(text)
     with zipfile.ZipFile(tmp_path / "20200105.zip", "w") as z:
         z.writestr("a.CSV", text)
@@ -89,6 +91,18 @@ def test_versioned_tables_ignore_unfinished_writes(spark, tmp_path):
     assert tables.read_table(spark, path).count() == 2
 
 
+def test_upsert_moves_a_key_to_its_new_month(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = lambda *r: spark.createDataFrame(r, "id int, day date, v string")
+    jan, feb, mar = (dt.date(2020, m, 5) for m in (1, 2, 3))
+    tables.upsert_by_month(spark, path, rows((1, jan, "a"), (2, feb, "b"), (3, mar, "c")), ["id"], "day")
+    untouched = sorted(p.name for p in (tmp_path / "events" / "month=2020-03").iterdir())
+    tables.upsert_by_month(spark, path, rows((1, feb, "d")), ["id"], "day")
+    got = spark.read.parquet(path).select("id", "day", "v").collect()
+    assert sorted(map(tuple, got)) == [(1, feb, "d"), (2, feb, "b"), (3, mar, "c")]
+    assert sorted(p.name for p in (tmp_path / "events" / "month=2020-03").iterdir()) == untouched
+
+
 def test_correlation_cache_replaces_one_method(spark, tmp_path):
     path = str(tmp_path / "c")
     row = "symbol string, correlation double, method string"
