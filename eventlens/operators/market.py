@@ -256,10 +256,14 @@ def price_event_overlay(
     prices = _slice(market, None, start, end).select(
         "symbol", "date", "close", "open", "high", "low", "volume", "daily_return"
     )
+    # One pass over the prices: a symbol that watches no country meets the key of the world.
     watching = F.col("symbol").isin([s for s, cs in ref.SYMBOL_COUNTRIES.items() if cs])
+    summaries = own.withColumnRenamed("symbol", "_key").unionByName(
+        world.withColumn("_key", F.lit("*")), allowMissingColumns=True
+    )
     joined = (
-        prices.filter(watching)
-        .join(own, ["symbol", "date"], "left")
-        .unionByName(prices.filter(~watching).join(world, "date", "left"))
+        prices.withColumn("_key", F.when(watching, F.col("symbol")).otherwise("*"))
+        .join(summaries, ["_key", "date"], "left")
+        .drop("_key")
     )
     return joined.withColumn("event_count", F.coalesce("event_count", F.lit(0)))

@@ -26,12 +26,12 @@ def headline_sentiment(
     end=None,
     source: str | None = None,
     sentiment: str | None = None,
-    limit: int = 20,
+    limit: int | None = 20,
 ) -> DataFrame:
     h = headlines_by_date_range(headlines, start, end, source)
     if sentiment is not None:
         h = h.filter(F.col("sentiment_label") == sentiment)
-    return h.limit(limit).select(
+    return (h if limit is None else h.limit(limit)).select(
         "headline", "source", "published_at", "sentiment_score", "sentiment_label"
     )
 

@@ -11,25 +11,25 @@ from eventlens import reference as ref
 from eventlens.functions import text as txt
 from eventlens.operators import anomalies, correlation, events, news, patterns
 
-MAX_SYMBOLS, MAX_ANALYSED = 8, 6
 
-
-def questions_scope(questions: DataFrame) -> DataFrame:
+def questions_scope(questions: DataFrame, symbols: int | None = None) -> DataFrame:
     """(query_id, query) -> countries named and symbols to look at.
 
-    Without a named country the global symbols apply. Symbols are cut to the first eight,
-    the size of one dossier.
+    Without a named country the global symbols apply. ``symbols`` bounds a question's
+    symbols, in their order; all of them by default.
     """
     world = F.array(*[F.lit(s) for s in ref.GLOBAL_SYMBOLS])
     named = questions.withColumn("countries", txt.query_countries("query"))
-    return named.withColumn(
-        "symbols",
-        F.slice(
-            F.when(F.size("countries") > 0, txt.query_symbols("countries")).otherwise(world),
-            1,
-            MAX_SYMBOLS,
-        ),
-    )
+    listed = F.when(F.size("countries") > 0, txt.query_symbols("countries")).otherwise(world)
+    return named.withColumn("symbols", listed if symbols is None else F.slice(listed, 1, symbols))
+
+
+def _first(rows: DataFrame, group: str, order: list, n: int | None) -> DataFrame:
+    """The first ``n`` rows of each group, or all; ranked before any question is joined."""
+    if n is None:
+        return rows
+    w = Window.partitionBy(group).orderBy(*order)
+    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def _per_query(scope: DataFrame, column: str, name: str) -> DataFrame:
@@ -43,41 +43,46 @@ def query_dossier(
     headlines: DataFrame,
     as_of,
     start="2016-01-01",
+    symbols: int | None = None,
+    analysed_symbols: int | None = None,
+    events_per_country: int | None = None,
+    prices_per_symbol: int | None = None,
+    countries: int | None = None,
+    headline_count: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Sections keyed by query id.
+    """Sections for a batch of questions; those about symbols or countries carry a query id.
 
-    Every section is computed once for all symbols or countries in scope and then joined
-    to the questions, instead of one run per question and symbol.
+    Every section is computed once for all symbols or countries in scope, cut if a bound is
+    given (none by default), and only then joined to the questions. ``event_summary``,
+    ``headlines`` and ``sentiment`` are the same for all questions and have no query id.
     """
-    scope = questions_scope(questions)
+    scope = questions_scope(questions, symbols)
     end = F.lit(as_of).cast("date")
     month, week, quarter = (F.date_sub(end, n) for n in (30, 7, 90))
     recent = bronze_events.filter(
         F.col("event_date").between(month, end) & (F.col("num_mentions") >= 200)
     )
-    by_country = recent.withColumn(
-        "country", F.explode(patterns.event_countries())
-    ).join(_per_query(scope, "countries", "country"), "country")
-    w = Window.partitionBy("query_id", "country").orderBy(*events.newest_first(recent))
-    top_events = (
-        by_country.withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= 15)
-        .select("query_id", "country", *events.BRIEF)
+    by_country = _first(
+        recent.withColumn("country", F.explode(patterns.event_countries())),
+        "country", events.newest_first(recent), events_per_country,
+    )
+    top_events = by_country.join(_per_query(scope, "countries", "country"), "country").select(
+        "query_id", "country", *events.BRIEF
     )
     summary = events.events_by_country(
-        bronze_events.filter(F.col("event_date").between(month, end)), limit=30
+        bronze_events.filter(F.col("event_date").between(month, end)), limit=countries
     ).select("country_code", "count")
 
     wanted = _per_query(scope, "symbols", "symbol")
     analysed = _per_query(
-        scope.withColumn("symbols", F.slice("symbols", 1, MAX_ANALYSED)), "symbols", "symbol"
+        scope if analysed_symbols is None else scope.withColumn("symbols", F.slice("symbols", 1, analysed_symbols)),
+        "symbols", "symbol",
     )
-    tail = Window.partitionBy("query_id", "symbol").orderBy(F.col("date").desc())
     prices = (
-        market.filter(F.col("date").between(week, end))
+        _first(
+            market.filter(F.col("date").between(week, end)), "symbol", [F.col("date").desc()], prices_per_symbol
+        )
         .join(wanted, "symbol")
-        .withColumn("_rn", F.row_number().over(tail))
-        .filter(F.col("_rn") <= 7)
         .select("query_id", "symbol", "date", "open", "high", "low", "close", "volume", "daily_return")
     )
     merged = correlation.merged_daily(market, bronze_events, start, as_of)
@@ -90,7 +95,7 @@ def query_dossier(
         "event_summary": summary,
         "market": prices,
         "headlines": news.headline_sentiment(
-            headlines.filter(F.to_date("published_at").between(week, end)), limit=15
+            headlines.filter(F.to_date("published_at").between(week, end)), limit=headline_count
         ),
         "sentiment": news.sentiment_summary(
             headlines.filter(F.to_date("published_at").between(week, end))
