@@ -91,16 +91,38 @@ ACCEPTED = [
 ]
 
 
+#: Single conditions: (check, table, column, what fails).
+CONDITIONS = [
+    ("no_null_dates", "gold_daily_summary", "summary_date", lambda c: c.isNull()),
+    ("valid_risk", "gold_daily_summary", "risk_level", lambda c: ~c.isin(LEVELS)),
+    ("non_negative_mentions", "gold_geopolitical_daily", "total_mentions", lambda c: c < 0),
+]
+
+
+def _in_one_pass(df: DataFrame, table: str) -> DataFrame:
+    """All checks of a table that need no grouping, as one aggregation."""
+    failing = [("not_null", c, X.count_if(F.col(c).isNull())) for c in NOT_NULL.get(table, [])]
+    failing += [
+        ("accepted_values", c, F.countDistinct(F.when(~F.col(c).isin(values), F.col(c))))
+        for t, c, values in ACCEPTED if t == table
+    ]
+    failing += [
+        (check, c, X.count_if(fails(F.col(c)))) for check, t, c, fails in CONDITIONS if t == table
+    ]
+    names = [f"{check} {c}" for check, c, _ in failing]
+    counts = df.agg(*[n.alias(name) for name, (_, _, n) in zip(names, failing, strict=True)])
+    name = F.split("name", " ")
+    return counts.unpivot([], names, "name", "failures").select(
+        name[0].alias("check"), F.lit(table).alias("table"), name[1].alias("column"), "failures"
+    )
+
+
 def dq_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every check whose table is given, with ``passed``."""
-    parts = [dq_not_null(tables[t], t, cols) for t, cols in NOT_NULL.items() if t in tables]
+    """Every check whose table is given, with ``passed``.
+
+    Each table is read once, and once more where a column has to be unique.
+    """
+    checked = {*NOT_NULL, *(t for t, _, _ in ACCEPTED), *(t for _, t, _, _ in CONDITIONS)}
+    parts = [_in_one_pass(tables[t], t) for t in sorted(checked) if t in tables]
     parts += [dq_unique(tables[t], t, c) for t, c in UNIQUE.items() if t in tables]
-    parts += [dq_accepted_values(tables[t], t, c, v) for t, c, v in ACCEPTED if t in tables]
-    if "gold_daily_summary" in tables:
-        parts += [
-            dq_no_null_dates(tables["gold_daily_summary"]),
-            dq_valid_risk(tables["gold_daily_summary"]),
-        ]
-    if "gold_geopolitical_daily" in tables:
-        parts.append(dq_non_negative_mentions(tables["gold_geopolitical_daily"]))
     return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("failures") == 0)
