@@ -87,21 +87,28 @@ def bronze(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 # ---- enrich -------------------------------------------------------------------------------
-def enrich(spark: SparkSession, root: str, load_scorer=None) -> int:
-    """Score headlines that have no sentiment yet; returns how many."""
+def enrich(spark: SparkSession, root: str, load_scorer=None, load_encoder=None) -> int:
+    """Score headlines that have no sentiment yet and embed those without a vector.
+
+    Returns how many were scored.
+    """
     path = f"{root}/bronze/news_headlines"
     heads = tables.read_table(spark, path)
+    if "embedding" not in heads.columns:
+        heads = heads.withColumn("embedding", F.lit(None).cast("array<float>"))
     pending = retrieval.pending_rows(heads, "sentiment_score")
     scored = checkpoint(
         retrieval.score_sentiment(pending.select("url", "headline"), "headline", load_scorer).drop(
             "headline"
         )
     )
+    bare = retrieval.pending_rows(heads, "embedding").select("url", "headline")
+    embedded = checkpoint(retrieval.embed_text(bare, "headline", load_encoder).drop("headline"))
     count = scored.count()
-    if count:
-        tables.write_table(
-            checkpoint(tables.merge_by_key(heads, scored, tables.KEYS["news_headlines"])), path
-        )
+    if count or not embedded.isEmpty():
+        keys = tables.KEYS["news_headlines"]
+        merged = tables.merge_by_key(tables.merge_by_key(heads, scored, keys), embedded, keys)
+        tables.write_table(checkpoint(merged), path)
     return count
 
 
@@ -253,11 +260,15 @@ def daily_pipeline(
     start="2016-01-01",
     end=None,
 ) -> DataFrame:
-    """Land -> enrich -> Silver and Gold -> analytics. Returns the landing status."""
+    """Land -> enrich -> Silver and Gold -> quality report -> analytics.
+
+    Returns the landing status; the report is stored and blocks nothing.
+    """
     status = land_bronze(spark, root, sources)
     enrich(spark, root)
     build_silver(spark, root)
     build_gold(spark, root)
+    tables.write_table(check_quality(spark, root), f"{root}/quality/report")
     refresh_analytics(spark, root, start, end)
     return status
 

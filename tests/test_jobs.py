@@ -129,7 +129,10 @@ def test_daily_pipeline_and_late_rows(spark, frames, tmp_path):
 
     status = {r["source"]: r["status"] for r in daily.daily_pipeline(spark, root, sources(False), "1995-01-01", "2001-08-01").collect()}
     assert status.pop("prediction_markets") == "failed" and set(status.values()) == {"ok"}
-    assert daily.bronze(spark, root, "news_headlines").filter("sentiment_score IS NULL").count() == 0
+    heads = daily.bronze(spark, root, "news_headlines")
+    assert heads.filter("sentiment_score IS NULL OR size(embedding) IS NULL").count() == 0
+    assert heads.count() == frames.bronze_headlines.select("url").distinct().count()
+    assert tables.read_table(spark, f"{root}/quality/report").count() > 20
     # Rows that were missing arrive late, inside the month being replaced.
     daily.land_bronze(spark, root, {"events": sources(True)["events"]})
     daily.build_silver(spark, root)
