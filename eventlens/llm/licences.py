@@ -139,9 +139,10 @@ def trained(paragraphs: DataFrame, sample_rows: int = 4000, vocabulary: int = 40
         .select("family", F.expr("slice(words, a + 1, n - a - b)").alias("words"))
     )
     # A notice among other words is still that notice.
-    filler = sample.select(F.slice("words", 1, 8).alias("f")).orderBy(F.xxhash64("f")).limit(20)
-    among = template_rows(spark).crossJoin(filler).select("family", F.concat("f", "words").alias("words"))
-    rows, at = storage.written(sample.union(cut).union(among.select("family", "words")).coalesce(4), "licences")
+    fillers = sample.select(F.slice("words", 1, 8).alias("f")).orderBy(F.xxhash64("f"), "f").limit(20)
+    fillers = fillers.agg(F.collect_list("f").alias("fs")).scalar()
+    among = template_rows(spark).withColumn("f", F.explode(fillers)).select("family", F.concat("f", "words").alias("words"))
+    rows, at = storage.written(sample.union(cut).union(among).coalesce(4), "licences")
     rows = rows.withColumn("held", F.pmod(F.xxhash64("words"), F.lit(4)) == 0)
     fit = rows.where("not held")
     counts = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocabulary, binary=True)
