@@ -47,6 +47,43 @@ def test_spans_and_masks(spark):
     assert private_data.private_spans(empty).count() == 0 and private_data.masked(empty).count() == 0
 
 
+def test_numbers_beside_known_ones_and_long_groups(spark):
+    """What the patterns teach is found beside known spans and other numbers, in any groups."""
+    known = [f"please call me on +1 (555) 123-{i:04d} today" for i in range(40)]
+    known += [f"please write to user{i}@mail.example today" for i in range(40)]
+    asked = {
+        "jane@x.org on 555-0199 today": ("phone", "555-0199"),
+        "see 10.0.0.1 on 555-0198 today": ("phone", "555-0198"),
+        "10.0.0.1 555-0197 call me on 555-0197 today": ("phone", "555-0197"),
+        "call me on 555-0196 2024-01-15": ("phone", "555-0196"),
+        "call me on 55 50 19 95 12 today": ("phone", "55 50 19 95 12"),
+        "please write to john at example.com today": ("email", "john at example.com"),
+    }
+    rows = [(i, t) for i, t in enumerate([*known, *asked])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in private_data.private_spans(docs).collect()}
+    for i, t in rows[len(known):]:
+        kind, value = asked[t]
+        new = {(private_data.KINDS[s.no], s.value) for s in got[i].spans} - {(private_data.KINDS[s.no], s.value) for s in got[i].base}
+        assert (kind, value) in new, (t, new)
+        for s in got[i].spans:
+            assert t[s.start : s.stop] == s.value
+    beside = [s.start for s in got[len(known) + 2].spans if s.value == "555-0197"]
+    assert beside == [9, 29]
+
+
+def test_rounds_go_on_until_nothing_is_found(spark):
+    """Each round's finds carry the next patterns: a chain of eight levels."""
+    levels = [[f"+1 (555) 123-000{i}" for i in range(4)]] + [[f"555-{k}00{i}" for i in range(4)] for k in range(8)]
+    texts = []
+    for k in range(8):
+        for i in range(4):
+            texts += [f"word{k}{i} {number} z{k}{i}{j}" for j, number in enumerate([*levels[k], levels[k + 1][i]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {s.value for r in private_data.private_spans(docs).collect() for s in r.spans}
+    assert {number for level in levels for number in level} <= found
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
