@@ -1,11 +1,13 @@
 """Reference maps as DataFrames: symbol catalog, country links, code groups.
 
-All maps written in this file are fixed values and tiny (under 40 rows), so they
-are the only DataFrames the package ever marks for broadcast.
+All maps written in this file or shipped beside it (``data/``) are fixed values and tiny (229
+rows at most), so they are the only DataFrames the package ever marks for broadcast.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,45 +190,11 @@ DEFAULT_SYMBOLS = ["SPY", "GC=F", "CL=F", "^VIX"]
 GLOBAL_SYMBOLS = ["SPY", "CL=F", "GC=F", "^VIX", "TLT", "EEM"]
 KEY_SYMBOLS = ["CL=F", "GC=F", "SPY", "QQQ", "^VIX", "EURUSD=X", "TLT", "EEM"]
 
-# ---- fixed values: FIPS 10-4 codes of countries ----
-# Dependent territories and retired codes are data, not code: point
-# ``spark.eventlens.fips.path`` (or the ``path`` argument) at a CSV with columns fips,iso that
-# names them all.
-FIPS_ISO = {
-    "AF": "AFG", "AL": "ALB", "AG": "DZA", "AN": "AND", "AO": "AGO", "AC": "ATG",
-    "AR": "ARG", "AM": "ARM", "AS": "AUS", "AU": "AUT", "AJ": "AZE", "BF": "BHS",
-    "BA": "BHR", "BG": "BGD", "BB": "BRB", "BO": "BLR", "BE": "BEL", "BH": "BLZ",
-    "BN": "BEN", "BT": "BTN", "BL": "BOL", "BK": "BIH", "BC": "BWA", "BR": "BRA",
-    "BX": "BRN", "BU": "BGR", "UV": "BFA", "BM": "MMR", "BY": "BDI", "CB": "KHM",
-    "CM": "CMR", "CA": "CAN", "CV": "CPV", "CT": "CAF", "CD": "TCD", "CI": "CHL",
-    "CH": "CHN", "CO": "COL", "CN": "COM", "CF": "COG", "CG": "COD", "CS": "CRI",
-    "IV": "CIV", "HR": "HRV", "CU": "CUB", "CY": "CYP", "EZ": "CZE", "DA": "DNK",
-    "DJ": "DJI", "DO": "DMA", "DR": "DOM", "EC": "ECU", "EG": "EGY", "ES": "SLV",
-    "EK": "GNQ", "ER": "ERI", "EN": "EST", "ET": "ETH", "FJ": "FJI", "FI": "FIN",
-    "FR": "FRA", "GB": "GAB", "GA": "GMB", "GG": "GEO", "GM": "DEU", "GH": "GHA",
-    "GR": "GRC", "GJ": "GRD", "GT": "GTM", "GV": "GIN", "PU": "GNB", "GY": "GUY",
-    "HA": "HTI", "HO": "HND", "HK": "HKG", "HU": "HUN", "IC": "ISL", "IN": "IND",
-    "ID": "IDN", "IR": "IRN", "IZ": "IRQ", "EI": "IRL", "IS": "ISR", "IT": "ITA",
-    "JM": "JAM", "JA": "JPN", "JO": "JOR", "KZ": "KAZ", "KE": "KEN", "KR": "KIR",
-    "KN": "PRK", "KS": "KOR", "KU": "KWT", "KG": "KGZ", "LA": "LAO", "LG": "LVA",
-    "LE": "LBN", "LT": "LSO", "LI": "LBR", "LY": "LBY", "LS": "LIE", "LH": "LTU",
-    "LU": "LUX", "MC": "MAC", "MK": "MKD", "MA": "MDG", "MI": "MWI", "MY": "MYS",
-    "MV": "MDV", "ML": "MLI", "MT": "MLT", "RM": "MHL", "MR": "MRT", "MP": "MUS",
-    "MX": "MEX", "FM": "FSM", "MD": "MDA", "MN": "MCO", "MG": "MNG", "MJ": "MNE",
-    "MO": "MAR", "MZ": "MOZ", "WA": "NAM", "NR": "NRU", "NP": "NPL", "NL": "NLD",
-    "NZ": "NZL", "NU": "NIC", "NG": "NER", "NI": "NGA", "NO": "NOR", "MU": "OMN",
-    "PK": "PAK", "PM": "PAN", "PP": "PNG", "PA": "PRY", "PE": "PER",
-    "RP": "PHL", "PL": "POL", "PO": "PRT", "QA": "QAT", "RO": "ROU", "RS": "RUS",
-    "RW": "RWA", "SC": "KNA", "ST": "LCA", "VC": "VCT", "WS": "WSM", "SM": "SMR",
-    "TP": "STP", "SA": "SAU", "SG": "SEN", "RI": "SRB", "SE": "SYC", "SL": "SLE",
-    "SN": "SGP", "LO": "SVK", "SI": "SVN", "BP": "SLB", "SO": "SOM", "SF": "ZAF",
-    "OD": "SSD", "SP": "ESP", "CE": "LKA", "SU": "SDN", "NS": "SUR", "WZ": "SWZ",
-    "SW": "SWE", "SZ": "CHE", "SY": "SYR", "TW": "TWN", "TI": "TJK", "TZ": "TZA",
-    "TH": "THA", "TT": "TLS", "TO": "TGO", "TN": "TON", "TD": "TTO", "TS": "TUN",
-    "TU": "TUR", "TX": "TKM", "TV": "TUV", "UG": "UGA", "UP": "UKR", "AE": "ARE",
-    "UK": "GBR", "US": "USA", "UY": "URY", "UZ": "UZB", "NH": "VUT", "VT": "VAT",
-    "VE": "VEN", "VM": "VNM", "YM": "YEM", "ZA": "ZMB", "ZI": "ZWE",
-}
+# ---- data: FIPS 10-4 codes of countries and territories ----
+# ``spark.eventlens.fips.path`` (or the ``path`` argument) names another CSV with columns fips,iso.
+FIPS_ISO = dict(
+    line.split(",") for line in resources.files("eventlens").joinpath("data/fips_to_iso.csv").read_text("utf-8").split()[1:]
+)
 FIPS_PATH_CONF = "spark.eventlens.fips.path"
 
 VIOLENT_ROOTS = EVENT_GROUPS["violent_conflict"]
@@ -302,7 +270,7 @@ def series_config(spark: SparkSession) -> DataFrame:
 
 
 def fips_to_iso_map(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """FIPS -> ISO-3 table: the CSV the caller names, else the built-in countries."""
+    """FIPS -> ISO-3 table: the CSV the caller names, else the one of the package."""
     path = path or spark.conf.get(FIPS_PATH_CONF, None)
     if path:
         return spark.read.csv(path, header=True, schema="fips string, iso string")

@@ -85,6 +85,18 @@ def test_unknown_fips_falls_back(spark):
     assert [r["country_code"] for r in silver.fips_to_iso(df).collect()] == ["RUS", "ZZ", None]
 
 
+def test_fips_codes_of_territories_and_retired_ones(spark):
+    from eventlens import reference as ref
+
+    want = {
+        "GZ": "PSE", "WE": "PSE", "KV": "XKX", "WI": "ESH", "RQ": "PRI", "GL": "GRL", "RB": "SRB", "RN": "MNE",
+        "MH": "MHL", "PA": "PRY", "PM": "PAN", "VQ": "VIR",
+    }
+    df = spark.createDataFrame([(c,) for c in want], "action_geo_country_code string")
+    assert {r[0]: r["country_code"] for r in silver.fips_to_iso(df).collect()} == want
+    assert ref.fips_to_iso_map(spark).count() == len(ref.FIPS_ISO) == 229
+
+
 def test_custom_fips_table(spark, tmp_path):
     from eventlens import reference as ref
 
