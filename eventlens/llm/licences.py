@@ -9,6 +9,7 @@ family's templates occur in the paragraph. DataFrame functions and MLlib only.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -101,6 +102,67 @@ def covered(spark, ws: str) -> Column:
     return F.array(F.lit(0.0), *out)
 
 
+def template_words() -> list[list[str]]:
+    return [re.findall("[a-z0-9]+", t.lower()) for ts in TEMPLATES.values() for t in ts]
+
+
+def template_triples() -> list[str]:
+    return sorted({" ".join(ws[i : i + 3]) for ws in template_words() for i in range(max(1, len(ws) - 2))})
+
+
+def telling() -> str:
+    """Expression of words of which each text has one that holds enough triples of a template."""
+    chosen = set()
+    for ws in template_words():
+        own, held = {tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))}, set()
+        for w in sorted(set(ws), key=lambda w: (-len(w), w)):
+            if len(held) > (1 - COVERED) * len(own):
+                break
+            chosen.add(w)
+            held |= {t for t in own if w in t}
+    return "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(chosen)) + ")"
+
+
+def joined(text: str, lines: str) -> Column:
+    """``a, b, text`` of each stretch of two and more neighbouring lines, first and last one's
+    number, in which a wrapped notice could stand: none crosses a line without words, and behind
+    the first line there are no more words than the longest template has."""
+    most = max(map(len, template_words()))
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"(?i)^\s*(?:rem|dnl)\s", ""))
+
+    def from_line(ls: Column, i: Column) -> Column:
+        behind = F.aggregate(
+            F.slice(ls, i + 1, F.lit(most)), F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("on")),
+            lambda acc, x: F.when(
+                acc.on & (acc.n < most) & x.rlike("[A-Za-z0-9]"),
+                F.struct((acc.k + 1).alias("k"), (acc.n + F.size(F.split(x, "[^A-Za-z0-9]+"))).alias("n"), F.lit(True).alias("on")),
+            ).otherwise(F.struct(acc.k.alias("k"), acc.n.alias("n"), F.lit(False).alias("on"))),
+            lambda acc: acc.k,
+        )
+        return F.flatten(F.transform(F.array(F.slice(ls, i, F.lit(1) + behind)), lambda own: F.when(
+            (F.size(own) > 1) & F.array_join(own, " ").rlike(telling()),
+            F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(own))), lambda k: F.struct(
+                i.alias("a"), (i + k - 1).alias("b"), F.array_join(F.slice(own, F.lit(1), k), " ").alias("text")
+            )),
+        ).otherwise(F.expr("cast(array() as array<struct<a:int,b:int,text:string>>)"))))
+
+    found = F.flatten(F.flatten(F.transform(F.array(bare), lambda ls: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ls) - 1)), lambda i: from_line(ls, i)
+    ))))
+    worth = (F.size(lines) > 1) & F.col(text).rlike(telling())
+    return F.when(worth, F.filter(found, lambda x: x.text.rlike(telling()))).otherwise(
+        F.expr("cast(array() as array<struct<a:int,b:int,text:string>>)")
+    )
+
+
+def apart(hits: str) -> Column:
+    """The most hits ``b, -a, p``, in this order, of which no two share a line: their ``p``."""
+    return F.expr(
+        f"aggregate({hits}, named_struct('at', 0, 'out', cast(array() as array<double>)), (acc, x) -> "
+        "if(-x.a > acc.at, named_struct('at', x.b, 'out', concat(acc.out, array(x.p))), acc), acc -> acc.out)"
+    )
+
+
 @dataclass
 class Model:
     features: PipelineModel
@@ -131,7 +193,10 @@ def trained(paragraphs: DataFrame, sample_rows: int = 4000, vocabulary: int = 40
     spark = paragraphs.sparkSession
     sample = paragraphs.select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample_rows)
     sample = sample.withColumn("words", words("text")).where(F.size("words") > 0)
-    sample = sample.where(F.array_max(covered(spark, "words")) < COVERED).select(F.lit(0).alias("family"), "words")
+    # Lines of wrapped notices are not plain text.
+    own = triples(F.col("words"))
+    notice = F.size(F.array_intersect(own, F.array(*map(F.lit, template_triples())))) >= 0.5 * F.size(own)
+    sample = sample.where(~notice & (F.array_max(covered(spark, "words")) < COVERED)).select(F.lit(0).alias("family"), "words")
     cut = template_rows(spark).withColumn("n", F.size("words"))
     cut = (
         cut.withColumn("a", F.explode(F.sequence(F.lit(0), F.least(F.lit(6), F.col("n") / 4).cast("int"))))
@@ -169,21 +234,38 @@ def trained(paragraphs: DataFrame, sample_rows: int = 4000, vocabulary: int = 40
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000) -> DataFrame:
     """``id, n_paragraphs, n_notices, families, best``: licence notices of each text.
 
-    Paragraphs are what line ends part, blank ones left out. ``families`` are the confirmed
-    families in their order, ``best`` the largest calibrated probability among them (null
-    without any). Null, empty and wordless texts have no notices. Every row gives one row; rows
-    of one id show the notices of all of them, and a null id shows none.
+    Paragraphs are what line ends part, blank ones left out. A notice stands in one of them or,
+    wrapped, in neighbouring ones with no blank line between; notices of a family that are
+    counted share no line. ``families`` are the confirmed families in their order, ``best`` the
+    largest calibrated probability among them (null without any). Null, empty and wordless texts
+    have no notices. Every row gives one row; rows of one id show the notices of all of them, and
+    a null id shows none.
     """
     spark = docs.sparkSession
-    parts = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "[\r\n]+"), lambda p: F.trim(p) != "")
-    listed = docs.select(F.col(id_col).alias("id"), parts.alias("parts"))
-    paragraphs = listed.select("id", F.explode("parts").alias("text"))
-    model = trained(paragraphs, sample_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("whole"))
+    rows = rows.withColumn("lines", F.split("whole", "\r\n|[\r\n]"))
+    listed = rows.select("id", F.filter("lines", lambda p: F.trim(p) != "").alias("parts"))
+    model = trained(listed.select(F.explode("parts").alias("text")), sample_rows)
+    single = F.filter(
+        F.transform("lines", lambda x, i: F.struct((i + 1).alias("a"), (i + 1).alias("b"), x.alias("text"))),
+        lambda x: F.trim(x.text) != "",
+    )
+    stretches = rows.where("id is not null").withColumn("row", F.monotonically_increasing_id()).select(
+        "id", "row", F.explode(F.concat(single, joined("whole", "lines"))).alias("s")
+    ).select("id", "row", "s.*")
     shared = F.get(covered(spark, "words"), F.col("family"))
-    found = (
-        model.judged(paragraphs.where("id is not null").withColumn("words", words("text"))).where(F.col("p") >= SURE)
-        .where(shared >= COVERED).select("id", "family", "p")
-        .groupBy("id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("family")).alias("f"), F.max("p").alias("best"))
+    hits = (
+        model.judged(stretches.withColumn("words", words("text"))).where(F.col("p") >= SURE)
+        .where(shared >= COVERED).select("id", "row", "family", "a", "b", "p")
+    )
+    counted = (
+        hits.groupBy("id", "row", "family", "a").agg(F.min(F.struct("b", "p")).alias("h"))
+        .groupBy("id", "row", "family")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("h.b").alias("b"), (-F.col("a")).alias("a"), F.col("h.p").alias("p")))).alias("hits"))
+        .withColumn("ps", apart("hits"))
+    )
+    found = counted.groupBy("id").agg(
+        F.sum(F.size("ps")).alias("n"), F.array_sort(F.collect_set("family")).alias("f"), F.max(F.array_max("ps")).alias("best")
     )
     names = F.array(*map(F.lit, FAMILIES))
     return listed.select("id", F.size("parts").cast("long").alias("n_paragraphs")).join(found, "id", "left").select(

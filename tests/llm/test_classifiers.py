@@ -84,3 +84,25 @@ def test_licences(spark):
     marks = {"mit": "MIT License", "apache": "Apache License", "gpl": "GNU General", "creative-commons": "CC BY", "proprietary": "All rights reserved"}
     for r in docs.where("doc_id < 10000").collect():
         assert got[r.doc_id].families == ",".join(sorted(f for f, m in marks.items() if m in r.text))
+
+
+def test_wrapped_licences(spark):
+    """Notices wrapped at 72 columns, bare and as comments, beside one another and other lines."""
+    import textwrap
+
+    longest = {f: max(licences.TEMPLATES[f], key=len) for f in ("bsd", "apache", "gpl", "mit")}
+    rows, want = [], []
+    for marks in ("", " * ", "# ", "REM "):
+        for f, t in longest.items():
+            lines = ["Copyright 2020 Some Body", *textwrap.wrap(t, 50 if f in ("gpl",) else 72), "and other words behind it"]
+            assert len(lines) > 3, f
+            rows.append((len(rows), "import os\n\n" + "\n".join(marks + x for x in lines) + "\n\nx = 1\n"))
+            want.append((f, 1))
+    twice = "\n".join(textwrap.wrap(longest["apache"], 60))
+    rows.append((len(rows), twice + "\n\n" + twice))
+    want.append(("apache", 2))
+    rows.append((len(rows), twice.replace("\n", "\n\n")))
+    want.append(("", 0))
+    prose = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text")
+    got = {r.doc_id: r for r in licences.licences(spark.createDataFrame(rows, prose.schema).union(prose)).collect()}
+    assert [(got[i].families, got[i].n_notices) for i, _ in rows] == want
