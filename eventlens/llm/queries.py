@@ -17,6 +17,7 @@ from eventlens.llm import (
     repeats,
     token_counts,
     topk,
+    vector_dedup,
 )
 from eventlens.llm.storage import table
 
@@ -127,3 +128,8 @@ def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences(table(spark, folder, "documents"))
+
+
+@query
+def op11_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, folder, "embeddings"), cosine=0.98)
