@@ -12,6 +12,7 @@ from eventlens.llm import (
     licences,
     near_dedup,
     packing,
+    prefix_trie,
     private_data,
     quality,
     repeats,
@@ -133,3 +134,8 @@ def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, folder, "embeddings"), cosine=0.98)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
