@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import (
+    alignment,
     decontaminate,
     language,
     licences,
@@ -139,3 +140,10 @@ def op11_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
