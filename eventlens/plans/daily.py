@@ -1,63 +1,158 @@
 """Ordered jobs over a warehouse folder: land, enrich, transform, analyse, train.
 
 Layout under ``root``: ``bronze/<table>``, ``silver/<table>``, ``gold/<table>``,
-``analytics/<table>``, ``models/<version>``. Bronze events and Gold marts are partitioned
-by month; the other tables are versioned folders.
+``analytics/<table>``, ``models/<version>``. Bronze, Silver and Gold are partitioned by month;
+analytics and models are versioned folders.
+
+Whoever changes months of a table marks them in the tables built from it (``SOURCES``), before
+a file moves; these rebuild the months that depend on the marked ones and no others. A run
+that dies leaves its marks to the next one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens import reference as ref
+from eventlens.functions import text as txt
 from eventlens.operators import (
-    anomalies, correlation, datasets, models, patterns, quality, retrieval,
+    anomalies, correlation, datasets, dedup, models, patterns, quality, retrieval,
 )
 from eventlens.operators import results as stored
 from eventlens.plans import gold, silver
 from eventlens.session import checkpoint, run_together
-from eventlens.sources import tables
+from eventlens.sources import months, tables
 
-OVERLAP_DAYS = {"events": 3, "market_data": 7, "economic_indicators": 90}
 DATE_OF = {
-    "gold_geopolitical_daily": "event_date",
-    "gold_market_daily": "date",
-    "gold_sentiment_daily": "published_date",
-    "gold_economic_snapshot": "date",
-    "gold_daily_summary": "summary_date",
+    "bronze/events": "event_date",
+    "bronze/market_data": "date",
+    "bronze/news_headlines": "published_at",
+    "bronze/economic_indicators": "date",
+    "bronze/prediction_markets": "snapshot_date",
+    "silver/silver_events": "event_date",
+    "silver/silver_market": "date",
+    "silver/silver_headlines": "published_date",
+    "silver/silver_event_market": "event_date",
+    "gold/gold_geopolitical_daily": "event_date",
+    "gold/gold_market_daily": "date",
+    "gold/gold_sentiment_daily": "published_date",
+    "gold/gold_economic_snapshot": "date",
+    "gold/gold_daily_summary": "summary_date",
+}
+#: What each table is built from.
+SOURCES = {
+    "silver/silver_events": ["bronze/events"],
+    "silver/silver_market": ["bronze/market_data"],
+    "silver/silver_headlines": ["bronze/news_headlines"],
+    "silver/silver_event_market": ["silver/silver_events", "silver/silver_market"],
+    "gold/gold_geopolitical_daily": ["silver/silver_events"],
+    "gold/gold_market_daily": ["silver/silver_market", "analytics/analysis_results"],
+    "gold/gold_sentiment_daily": ["silver/silver_headlines"],
+    "gold/gold_economic_snapshot": ["bronze/economic_indicators"],
+    "gold/gold_daily_summary": ["gold/gold_geopolitical_daily", "gold/gold_market_daily", "gold/gold_sentiment_daily"],
 }
+GOLD = [name.removeprefix("gold/") for name in SOURCES if name.startswith("gold/")]
+#: Tables whose new rows are enriched, and where that job keeps its marks.
+ENRICHED, ENRICHMENT = ["bronze/news_headlines", "bronze/events"], "bronze/_enrichment"
+#: Filled by ``enrich``.
+VECTOR = {"embedding": "array<float>"}
 
 
-# ---- land ---------------------------------------------------------------------------------
-def _land_events(spark: SparkSession, path: str, new: DataFrame) -> None:
-    tables.upsert_by_month(spark, path, new, tables.KEYS["events"], "event_date")
+# ---- following changes ----------------------------------------------------------------------
+def _touched(spark: SparkSession, root: str, name: str) -> months.Touched:
+    """Marks changed months of a table in those built from it and, if new, for enrichment.
+
+    A table that isn't there yet needs no marks: it will be built from all.
+    """
+    users = [t for t, sources in SOURCES.items() if name in sources]
+
+    def touched(changed: list[str]) -> None:
+        for user in users:
+            if months.stored(spark, f"{root}/{user}"):
+                months.mark(spark, f"{root}/{user}", name.replace("/", "."), changed)
+        if name in ENRICHED:
+            months.mark(spark, f"{root}/{ENRICHMENT}", name.replace("/", "."), changed)
 
+    return touched
 
-def _land_market(spark: SparkSession, path: str, new: DataFrame) -> None:
-    tables.upsert_table(spark, path, new, tables.merge_market)
 
+def refresh(
+    spark: SparkSession, root: str, name: str, make: Callable[[list[str] | None], DataFrame],
+    spread: Callable[[dict[str, list[str]]], list[str]] | None = None,
+) -> list[str]:
+    """Rebuild the months of a table that changes of its sources reach; returns them.
 
-def _land_headlines(spark: SparkSession, path: str, new: DataFrame) -> None:
-    tables.insert_table(spark, path, new, tables.insert_new_headlines)
+    ``make`` gives all rows of some months (None: of all). ``spread`` tells the months that
+    changed months of the sources, by name, reach; by default the same ones.
+    """
+    path, date = f"{root}/{name}", DATE_OF[name]
+    marks = months.marked(spark, path)
+    touched = _touched(spark, root, name)
+    if not months.stored(spark, path):
+        out = months.change(spark, path, months.dated(make(None), date), None, touched=touched)
+    else:
+        changed = {source.replace(".", "/"): sorted(found) for source, found in marks.items()}
+        wanted = spread(changed) if spread and changed else sorted(set().union(*changed.values()))
+        if not wanted:
+            months.finish(spark, path, touched)
+            return []
+        rows = months.dated(make(wanted), date).filter(F.col("month").isin(wanted))
+        out = months.change(spark, path, rows, wanted, touched=touched)
+    months.unmark(spark, marks)
+    return out
+
+
+def _rows(spark: SparkSession, root: str, name: str, only: list[str] | None = None) -> DataFrame:
+    return months.read(spark, f"{root}/{name}", only).drop("month")
 
 
-def _land_indicators(spark: SparkSession, path: str, new: DataFrame) -> None:
-    tables.insert_table(spark, path, new, tables.insert_new_indicators)
+def _windowed(spark: SparkSession, root: str, name: str, key: str, rows: int):
+    """``spread`` and the source's rows for a table whose rows look at earlier ones of a key."""
+    needed: list[str] = []
 
+    def spread(changed: dict[str, list[str]]) -> list[str]:
+        # The key column and the folders' names alone are read.
+        counts = months.read(spark, f"{root}/{name}").groupBy(key, "month").agg(F.count("*").alias("n"))
+        after, before = months.linked_months(counts, key, changed[name], rows)
+        needed[:] = before
+        return after
 
-def _land_predictions(spark: SparkSession, path: str, new: DataFrame) -> None:
-    tables.insert_table(spark, path, new, tables.insert_new_snapshots)
+    def source(only: list[str] | None) -> DataFrame:
+        return _rows(spark, root, name, None if only is None else [*only, *needed])
+
+    return spread, source
+
+
+# ---- land ---------------------------------------------------------------------------------
+def _upsert(name: str, more: dict[str, str] | None = None):
+    def land(spark: SparkSession, root: str, new: DataFrame) -> list[str]:
+        table = f"bronze/{name}"
+        return tables.upsert_by_month(
+            spark, f"{root}/{table}", new, tables.KEYS[name], DATE_OF[table], _touched(spark, root, table), more
+        )
+
+    return land
+
+
+def _insert(name: str, absent, more: dict[str, str] | None = None, shape=lambda new: new):
+    def land(spark: SparkSession, root: str, new: DataFrame) -> list[str]:
+        table = f"bronze/{name}"
+        return tables.insert_by_month(
+            spark, f"{root}/{table}", shape(new), absent, tables.KEYS[name], DATE_OF[table], _touched(spark, root, table), more
+        )
+
+    return land
 
 
 LANDERS = {
-    "events": _land_events,
-    "market_data": _land_market,
-    "news_headlines": _land_headlines,
-    "economic_indicators": _land_indicators,
-    "prediction_markets": _land_predictions,
+    "events": _upsert("events", VECTOR),
+    "market_data": _upsert("market_data"),
+    "news_headlines": _insert("news_headlines", tables.insert_new_headlines, VECTOR),
+    "economic_indicators": _insert("economic_indicators", tables.insert_new_indicators),
+    "prediction_markets": _insert("prediction_markets", tables.insert_new_snapshots, shape=tables.with_snapshot_day),
 }
 
 
@@ -67,12 +162,14 @@ def land_bronze(
     """Land each source; one that fails does not stop the others.
 
     Returns (source, status, error). ``sources`` maps a Bronze table to a function that
-    returns its new rows, already cut to the overlap window of the feed.
+    returns its new rows, already cut to the overlap window of the feed. Rows that are stored
+    already change nothing; new rows are appended to their month, and only months with a
+    changed row are rewritten.
     """
     status = []
     for name, fetch in sources.items():
         try:
-            LANDERS[name](spark, f"{root}/bronze/{name}", fetch())
+            LANDERS[name](spark, root, fetch())
             status.append((name, "ok", None))
         except Exception as e:  # noqa: BLE001 - each source is independent
             status.append((name, "failed", str(e)[:500]))
@@ -80,139 +177,144 @@ def land_bronze(
 
 
 def bronze(spark: SparkSession, root: str, name: str) -> DataFrame:
-    path = f"{root}/bronze/{name}"
-    if name == "events":
-        return spark.read.parquet(path).drop("month")
-    return tables.read_table(spark, path)
+    return _rows(spark, root, f"bronze/{name}")
 
 
 # ---- enrich -------------------------------------------------------------------------------
-def enrich(spark: SparkSession, root: str, load_scorer=None, load_encoder=None) -> int:
-    """Score headlines that have no sentiment yet and embed those without a vector.
+def enrich(spark: SparkSession, root: str, load_scorer=None, load_encoder=None, months_at_once: int = 12) -> int:
+    """Score headlines that have no sentiment yet; embed headlines and events without a vector.
 
-    Returns how many were scored.
+    Only months that have changed since the last run are looked at, a few at a time; each
+    few are stored and their marks removed before the next, so a run that dies goes on where it
+    stopped. Months without a pending row stay untouched. Returns how many headlines were scored.
     """
-    path = f"{root}/bronze/news_headlines"
-    heads = tables.read_table(spark, path)
-    if "embedding" not in heads.columns:
-        heads = heads.withColumn("embedding", F.lit(None).cast("array<float>"))
-    pending = retrieval.pending_rows(heads, "sentiment_score")
-    scored = checkpoint(
-        retrieval.score_sentiment(pending.select("url", "headline"), "headline", load_scorer).drop(
-            "headline"
-        )
-    )
-    bare = retrieval.pending_rows(heads, "embedding").select("url", "headline")
-    embedded = checkpoint(retrieval.embed_text(bare, "headline", load_encoder).drop("headline"))
-    count = scored.count()
-    if count or not embedded.isEmpty():
-        keys = tables.KEYS["news_headlines"]
-        merged = tables.merge_by_key(tables.merge_by_key(heads, scored, keys), embedded, keys)
-        tables.write_table(checkpoint(merged), path)
+
+    def scored(rows: DataFrame) -> DataFrame:
+        pending = F.col("sentiment_score").isNull()
+        known = rows.filter(~pending)
+        bare = rows.filter(pending).drop("sentiment_score", "sentiment_label")
+        return known.unionByName(retrieval.score_sentiment(bare, "headline", load_scorer), allowMissingColumns=True)
+
+    def embedded(rows: DataFrame, text: Column) -> DataFrame:
+        pending = F.col("embedding").isNull()
+        bare = rows.filter(pending).drop("embedding").withColumn("_text", text)
+        return rows.filter(~pending).unionByName(retrieval.embed_text(bare, "_text", load_encoder).drop("_text"))
+
+    fills = {
+        "bronze/news_headlines": lambda rows: embedded(scored(rows), F.col("headline")),
+        "bronze/events": lambda rows: embedded(rows, txt.event_text()),
+    }
+    home, count = f"{root}/{ENRICHMENT}", 0
+    for source, marks in months.marked(spark, home).items():
+        name = source.replace(".", "/")
+        path, changed = f"{root}/{name}", sorted(marks)
+        score = F.col("sentiment_score").isNull() if name.endswith("headlines") else F.lit(False)
+        users = _touched(spark, root, name)
+        for first in range(0, len(changed), months_at_once):
+            some = changed[first : first + months_at_once]
+            months.finish(spark, path, users)
+            todo = (
+                months.read(spark, path, some).filter(score | F.col("embedding").isNull())
+                .groupBy("month").agg(F.sum(score.cast("int")).alias("unscored")).collect()
+            )
+            before = months.marked(spark, home).get(source, {})
+            if todo:
+                wanted = [r["month"] for r in todo]
+                months.change(spark, path, fills[name](months.read(spark, path, wanted)), wanted, touched=users)
+                count += sum(r["unscored"] for r in todo)
+                # Its own change is nothing to look at again.
+                after = months.marked(spark, home).get(source, {})
+                own = {m: [f for f in files if f not in before.get(m, [])] for m, files in after.items()}
+                months.unmark(spark, {source: own})
+            months.unmark(spark, {source: {m: before.get(m, []) for m in some}})
     return count
 
 
 # ---- transform ----------------------------------------------------------------------------
 def silver_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return tables.read_table(spark, f"{root}/silver/{name}")
+    return _rows(spark, root, f"silver/{name}")
+
 
+def build_silver(spark: SparkSession, root: str, seeds: dict[str, DataFrame] | None = None) -> dict[str, list[str]]:
+    """Four Silver tables; the three independent ones are refreshed together, then linked.
 
-def build_silver(spark: SparkSession, root: str, seeds: dict[str, DataFrame] | None = None) -> None:
-    """Four Silver tables; the three independent ones are built together, then linked."""
+    A month of events, headlines or links depends on the same month of its sources. A price row
+    looks at the 20 rows before it, so a changed month of prices reaches those months whose
+    windows it is in, and these are computed from as many earlier months as they need. Returns
+    the months of each table that were rebuilt; all of them the first time. Other seeds need
+    a new warehouse: stored months keep what they were built with.
+    """
+    done: dict[str, list[str]] = {}
+    spread, prices = _windowed(spark, root, "bronze/market_data", "symbol", silver.WINDOW_ROWS)
 
-    def store(name: str, make: Callable[[], DataFrame]) -> Callable[[], None]:
-        return lambda: tables.write_table(make(), f"{root}/silver/{name}")
+    def events() -> None:
+        n = "silver/silver_events"
+        done[n] = refresh(spark, root, n, lambda only: silver.silver_events(_rows(spark, root, "bronze/events", only), seeds))
 
-    run_together(
-        spark,
-        store("silver_events", lambda: silver.silver_events(bronze(spark, root, "events"), seeds)),
-        store("silver_market", lambda: silver.silver_market(bronze(spark, root, "market_data"))),
-        store(
-            "silver_headlines",
-            lambda: silver.silver_headlines(bronze(spark, root, "news_headlines"), seeds),
+    def market() -> None:
+        n = "silver/silver_market"
+        done[n] = refresh(spark, root, n, lambda only: silver.silver_market(prices(only)), spread)
+
+    def headlines() -> None:
+        n = "silver/silver_headlines"
+        done[n] = refresh(spark, root, n, lambda only: silver.silver_headlines(_rows(spark, root, "bronze/news_headlines", only), seeds))
+
+    run_together(spark, events, market, headlines)
+    n = "silver/silver_event_market"
+    done[n] = refresh(
+        spark, root, n,
+        lambda only: silver.silver_event_market(
+            *(_rows(spark, root, source, only) for source in SOURCES[n]), (seeds or {}).get("country_asset_map")
         ),
     )
-    store(
-        "silver_event_market",
-        lambda: silver.silver_event_market(
-            silver_table(spark, root, "silver_events"),
-            silver_table(spark, root, "silver_market"),
-            (seeds or {}).get("country_asset_map"),
-        ),
-    )()
-
-
-def _since(spark: SparkSession, path: str, date_column: str, overlap_days: int):
-    """First day to recompute, one value read on the driver; None on the first run."""
-    if not tables.exists(spark, path):
-        return None
-    return tables.highwater(spark.read.parquet(path), date_column, overlap_days).first()["since"]
+    return done
 
 
 def gold_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/gold/{name}").drop("month")
-
-
-def _from_month(df: DataFrame, column: str, since) -> DataFrame:
-    return df if since is None else df.filter(F.col(column) >= tables.month_start(since))
+    return _rows(spark, root, f"gold/{name}")
 
 
-def build_gold(spark: SparkSession, root: str, overlap_days: int = 3) -> None:
-    """Five marts. Months from the newest stored day minus the overlap are replaced.
+def build_gold(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Five marts; the months that changed Silver months, indicators or anomaly flags reach.
 
-    The date filter is applied to Silver before any aggregation, so a daily run reads one
-    or two months. Lags (economic deltas) run over the whole history first.
+    Late and moved events, however old, come through the marks of their Silver months; only
+    the marked months of a source are read. An indicator's next value depends on the one
+    before. Returns the rebuilt months of each mart.
     """
-    path = {n: f"{root}/gold/{n}" for n in DATE_OF}
-    since = {
-        n: _since(
-            spark, path[n], d, OVERLAP_DAYS["economic_indicators"] if "economic" in n else overlap_days
-        )
-        for n, d in DATE_OF.items()
-    }
-
-    def store(name: str, df: DataFrame) -> None:
-        tables.materialize_incremental(gold.stamped(df), path[name], DATE_OF[name], since[name])
-
+    done: dict[str, list[str]] = {}
     results_path = f"{root}/analytics/analysis_results"
     results = (
         tables.read_table(spark, results_path)
         if tables.exists(spark, results_path)
         else spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in stored.COLUMNS.items()))
     )
-    events = silver_table(spark, root, "silver_events")
-    prices = silver_table(spark, root, "silver_market")
-    heads = silver_table(spark, root, "silver_headlines")
-    econ = bronze(spark, root, "economic_indicators")
-
-    def geo() -> None:
-        n = "gold_geopolitical_daily"
-        store(n, gold.gold_geopolitical_daily(_from_month(events, "event_date", since[n])))
+    spread, indicators = _windowed(spark, root, "bronze/economic_indicators", "series_id", 1)
 
-    def market() -> None:
-        n = "gold_market_daily"
-        store(n, gold.gold_market_daily(_from_month(prices, "date", since[n]), results))
+    def mart(name: str, make, spread=None) -> Callable[[], None]:
+        def build() -> None:
+            done[name] = refresh(spark, root, f"gold/{name}", lambda only: gold.stamped(make(only)), spread)
 
-    def sentiment() -> None:
-        n = "gold_sentiment_daily"
-        store(n, gold.gold_sentiment_daily(_from_month(heads, "published_date", since[n])))
+        return build
 
-    def economic() -> None:
-        store("gold_economic_snapshot", gold.gold_economic_snapshot(econ))
+    def silver_rows(name: str, only: list[str] | None) -> DataFrame:
+        return _rows(spark, root, f"silver/{name}", only)
 
-    run_together(spark, geo, market, sentiment, economic)
+    run_together(
+        spark,
+        mart("gold_geopolitical_daily", lambda only: gold.gold_geopolitical_daily(silver_rows("silver_events", only))),
+        mart("gold_market_daily", lambda only: gold.gold_market_daily(silver_rows("silver_market", only), results)),
+        mart("gold_sentiment_daily", lambda only: gold.gold_sentiment_daily(silver_rows("silver_headlines", only))),
+        mart("gold_economic_snapshot", lambda only: gold.gold_economic_snapshot(indicators(only)), spread),
+    )
     n = "gold_daily_summary"
-    marts = {
-        m: _from_month(gold_table(spark, root, m), DATE_OF[m], since[n])
-        for m in ("gold_geopolitical_daily", "gold_market_daily", "gold_sentiment_daily")
-    }
-    store(n, gold.gold_daily_summary(*marts.values()))
+    mart(n, lambda only: gold.gold_daily_summary(*(_rows(spark, root, m, only) for m in SOURCES[f"gold/{n}"])))()
+    return done
 
 
 def check_quality(spark: SparkSession, root: str) -> DataFrame:
     """Quality report over the stored layers; failures warn, they do not block."""
     have = {n: silver_table(spark, root, n) for n in quality.NOT_NULL if n.startswith("silver")}
-    have |= {n: gold_table(spark, root, n) for n in DATE_OF}
+    have |= {n: gold_table(spark, root, n) for n in GOLD}
     return quality.dq_report(have)
 
 
@@ -246,9 +348,14 @@ def refresh_analytics(
     flagged = stored.from_anomalies(
         anomalies.detect_anomalies(market, events, start, end), best
     ).withColumn("event_id", F.coalesce("event_id", own_key))
-    results = tables.upsert_table(
-        spark, f"{root}/analytics/analysis_results", flagged, tables.merge_analysis_results
-    )
+    path = f"{root}/analytics/analysis_results"
+    had = dedup.anomaly_flags(tables.read_table(spark, path)) if tables.exists(spark, path) else None
+    results = tables.upsert_table(spark, path, flagged, tables.merge_analysis_results)
+    # Flags that came, went or changed reach their month of the market mart.
+    now = dedup.anomaly_flags(results)
+    differ = now if had is None else now.exceptAll(had).union(had.exceptAll(now))
+    moved = months.dated(differ, "date").select("month").distinct().collect()
+    _touched(spark, root, "analytics/analysis_results")(sorted(r["month"] for r in moved))
     cache = spark.read.parquet(f"{root}/analytics/correlation_cache")
     return {"correlation_cache": cache, "patterns": kept, "analysis_results": results}
 

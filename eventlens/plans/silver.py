@@ -109,7 +109,11 @@ def silver_market_returns(prices: DataFrame) -> DataFrame:
     )
 
 
-def silver_market_windows(returns: DataFrame, rows: int = 20) -> DataFrame:
+#: Rows before a price row that its figures look at: 20 returns, each with the close before it.
+WINDOW_ROWS = 20
+
+
+def silver_market_windows(returns: DataFrame, rows: int = WINDOW_ROWS) -> DataFrame:
     """5/20-row returns, 20-row volatility and volume z-score.
 
     Input is unique on (symbol, date), so one symbol is at most one row per calendar

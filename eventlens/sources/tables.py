@@ -1,8 +1,8 @@
-"""Writers: merges by key, insert-if-absent, partition replacement, and their storage.
+"""Writers: merges by key, insert-if-absent, replacement of months, and their storage.
 
-Tables are Parquet folders in numbered versions. A writer builds the next version in full;
-readers take the newest version that Spark closed with its _SUCCESS marker, so a job that
-dies half-way leaves the old version in place.
+Large tables are partitioned by month (``months``) and changed a month at a time. Small ones
+(reports, registries, stored results) are rewritten whole, as Parquet folders in numbered
+versions; readers take the newest version that Spark closed with its _SUCCESS marker.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators.dedup import keep_best
 from eventlens.session import checkpoint
+from eventlens.sources import months
 
 KEYS = {
     "events": ["global_event_id"],
@@ -86,11 +87,16 @@ def insert_new_indicators(old: DataFrame, new: DataFrame) -> DataFrame:
     return insert_absent(old, new, KEYS["economic_indicators"], [F.col("value")])
 
 
-def insert_new_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
-    """First snapshot per market and UTC day; a day already stored is skipped."""
-    dated = new.withColumn("snapshot_at", F.col("snapshot_at").cast("timestamp")).withColumn(
+def with_snapshot_day(new: DataFrame) -> DataFrame:
+    """Add the UTC day of a snapshot, a part of its key."""
+    return new.withColumn("snapshot_at", F.col("snapshot_at").cast("timestamp")).withColumn(
         "snapshot_date", F.to_date("snapshot_at")
     )
+
+
+def insert_new_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
+    """First snapshot per market and UTC day; a day already stored is skipped."""
+    dated = with_snapshot_day(new)
     ties = [F.col("id")] if "id" in new.columns else [F.col("yes_price")]
     return insert_absent(
         old, dated, KEYS["prediction_markets"], [F.col("snapshot_at"), *ties]
@@ -98,25 +104,13 @@ def insert_new_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 # ---- storage ---------------------------------------------------------------------------
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
+exists = months.exists
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Finished versions of a table: those Spark closed with a _SUCCESS marker."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
     found = []
-    for status in fs.listStatus(p):
-        name = status.getPath().getName()
+    for name in months.names(spark, path):
         if name.startswith("v=") and exists(spark, f"{path}/{name}/_SUCCESS"):
             found.append(int(name[2:]))
     return sorted(found)
@@ -137,8 +131,7 @@ def write_table(df: DataFrame, path: str, keep: int = 2) -> None:
     number = versions[-1] + 1 if versions else 1
     df.write.mode("overwrite").parquet(f"{path}/v={number}")
     for old in versions[: max(0, len(versions) + 1 - keep)]:
-        fs, p = _fs(spark, f"{path}/v={old}")
-        fs.delete(p, True)
+        months.remove(spark, f"{path}/v={old}")
 
 
 def materialize_table(df: DataFrame, path: str) -> DataFrame:
@@ -155,20 +148,6 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, merge) -> DataF
     return materialize_table(merge(read_table(spark, path), new), path)
 
 
-def insert_table(spark: SparkSession, path: str, new: DataFrame, absent) -> DataFrame:
-    """Append the rows an insert-if-absent function lets through."""
-
-    def merge(old: DataFrame, incoming: DataFrame) -> DataFrame:
-        return old.unionByName(absent(old, incoming), allowMissingColumns=True)
-
-    shaped = new
-    if absent is insert_new_snapshots and "snapshot_date" not in new.columns:
-        shaped = new.withColumn("snapshot_at", F.col("snapshot_at").cast("timestamp")).withColumn(
-            "snapshot_date", F.to_date("snapshot_at")
-        )
-    return upsert_table(spark, path, shaped, merge)
-
-
 def replace_correlation_cache(results: DataFrame, path: str) -> None:
     """Replace the stored rows of the methods in ``results``; other methods stay."""
     (
@@ -180,82 +159,101 @@ def replace_correlation_cache(results: DataFrame, path: str) -> None:
 
 
 def materialize_incremental(
-    df: DataFrame, path: str, date_column: str, since=None
-) -> None:
-    """Replace the month partitions from ``since`` on; everything on the first run.
-
-    ``df`` must hold every row of the months it touches, so the caller recomputes whole
-    months (``month_start``). Late rows inside the overlap therefore reach the mart, which
-    a strictly-newer high-water mark would lose.
+    df: DataFrame, path: str, date_column: str, since=None, touched: months.Touched | None = None
+) -> list[str]:
+    """Replace the months from ``since`` on, everything without it; returns the touched months.
+
+    ``df`` must hold every row of these months, so the caller recomputes whole months
+    (``month_start``). A stored month of the interval that has no rows any more is removed. The
+    months change together once all rows are staged (``months.change``); a job that dies in
+    between is finished by the next one.
     """
     spark = df.sparkSession
-    rows = df if since is None or not exists(spark, path) else df.filter(
-        F.col(date_column) >= month_start(since)
-    )
-    # A mart month is bounded (days x countries, symbols or sources), so months go to
-    # separate tasks and their files are written side by side.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        rows.withColumn("month", F.date_format(date_column, "yyyy-MM"))
-        .repartition(tasks, "month")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )
+    rows = months.dated(df, date_column)
+    if since is None:
+        return months.change(spark, path, rows, None, touched=touched)
+    months.finish(spark, path, touched)
+    first = str(since)[:7]
+    rows = rows.filter(F.col(date_column) >= month_start(since))
+    new = [r["month"] for r in rows.select("month").distinct().collect()]
+    wanted = sorted({m for m in months.stored(spark, path) if m != months.UNDATED and m >= first} | set(new))
+    return months.change(spark, path, rows, wanted, touched=touched)
+
+
+def _last_of_key(new: DataFrame, keys: list[str], date_column: str) -> DataFrame:
+    order = [F.col(c).desc_nulls_last() for c in new.columns if c not in keys]
+    rows = new.dropna(subset=[*keys, date_column])
+    return keep_best(rows, keys, order) if order else rows.dropDuplicates(keys)
 
 
 def upsert_by_month(
-    spark: SparkSession, path: str, new: DataFrame, keys: list[str], date_column: str
-) -> None:
-    """Update-or-insert that rewrites only the month partitions ``new`` touches.
-
-    A few days of late or repeated rows touch one or two months, whatever the size of the
-    table. A key whose date moves leaves its stored month for the new one: the stored months
-    of the arriving keys are looked up in the key columns alone. The merged months are
-    written to the checkpoint folder first, so the partitions being replaced are never also
-    being read.
+    spark: SparkSession, path: str, new: DataFrame, keys: list[str], date_column: str,
+    touched: months.Touched | None = None, more: dict[str, str] | None = None,
+) -> list[str]:
+    """Update-or-insert that touches only months with a new or changed row; returns them.
+
+    Rows that are stored already, as an overlapping window brings them again and again, are left out.
+    New rows of months without a changed row are appended. A month with a changed row is
+    rewritten, and so is the one that the row leaves if its date moves: stored months of the
+    arriving keys are looked up in the key columns alone, and not at all where the date belongs to
+    the key. ``more`` names columns, with their types, that are filled later on.
     """
-    incoming = new.dropna(subset=[*keys, date_column]).withColumn(
-        "month", F.date_format(date_column, "yyyy-MM")
-    )
-    merged = incoming
-    if exists(spark, path):
-        stored = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
-        moved = stored.select(*keys, "month").join(incoming.select(*keys), keys, "left_semi")
-        touched = incoming.select("month").union(moved.select("month")).distinct()
-        months = [r["month"] for r in touched.collect()]
-        old = stored.filter(F.col("month").isin(months))
-        merged = merge_by_key(old, incoming, keys).withColumn(
-            "month", F.date_format(date_column, "yyyy-MM")
-        )
+    months.finish(spark, path, touched)
+    incoming = months.dated(_last_of_key(new, keys, date_column), date_column)
+    if not months.stored(spark, path):
+        empty = {c: F.lit(None).cast(t) for c, t in (more or {}).items() if c not in incoming.columns}
+        return months.change(spark, path, None, None, incoming.withColumns(empty), touched)
+    table = months.read(spark, path)
+    if date_column in keys:
+        near = incoming.select("month").distinct()
     else:
-        months = []
-        order = [F.col(c).desc_nulls_last() for c in incoming.columns if c not in keys]
-        merged = keep_best(incoming, keys, order)
-    merged = checkpoint(merged)
-    (
-        merged.hint("rebalance", F.col("month"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )
-    # Months that lost their last row have nothing to overwrite them with.
-    written = {r["month"] for r in merged.select("month").distinct().collect()}
-    drop_months(spark, path, sorted(set(months) - written))
-
-
-def drop_months(spark: SparkSession, path: str, months: list[str]) -> None:
-    for month in months:
-        fs, p = _fs(spark, f"{path}/month={month}")
-        fs.delete(p, True)
+        near = table.select(*keys, "month").join(incoming.select(*keys), keys, "left_semi").select("month").distinct()
+    old = months.read(spark, path, [r["month"] for r in near.collect()])
+    brought = [c for c in incoming.columns if c not in keys and c in table.columns]
+    unknown = any(c not in table.columns for c in incoming.columns)
+    before = old.select(*keys, F.struct(*brought).alias("_old"), F.col("month").alias("_old_month"))
+    same = F.lit(False) if unknown else F.struct(*brought).eqNullSafe(F.col("_old"))
+    judged = incoming.join(before, keys, "left").withColumn("_new", F.col("_old_month").isNull())
+    fresh = checkpoint(judged.filter(F.col("_new") | ~same).drop("_old"))
+    left = fresh.filter("NOT _new").select(F.explode(F.array("month", "_old_month")).alias("month")).distinct()
+    rewritten = sorted(r["month"] for r in left.collect())
+    into, rows = F.col("month").isin(rewritten), fresh.drop("_new", "_old_month")
+    added = _shaped(rows.filter(~into), table)
+    if not rewritten:
+        return months.change(spark, path, None, None, added, touched)
+    merged = merge_by_key(months.read(spark, path, rewritten), rows.filter(into), keys)
+    return months.change(spark, path, months.dated(merged, date_column), rewritten, added, touched)
+
+
+def _shaped(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with all columns of the stored table, in its types; others follow."""
+    known = [
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema
+    ]
+    return rows.select(*known, *(c for c in rows.columns if c not in table.columns))
+
+
+def insert_by_month(
+    spark: SparkSession, path: str, new: DataFrame, absent, keys: list[str], date_column: str,
+    touched: months.Touched | None = None, more: dict[str, str] | None = None,
+) -> list[str]:
+    """Append the rows that an insert-if-absent function lets through; returns their months.
+
+    Stored files stay as they are. Keys are looked up in the key columns alone, and only in
+    the arriving months where the date belongs to the key.
+    """
+    months.finish(spark, path, touched)
+    empty = {c: F.lit(None).cast(t) for c, t in (more or {}).items() if c not in new.columns}
+    if not months.stored(spark, path):
+        first = absent(spark.createDataFrame([], new.schema), new)
+        return months.change(spark, path, None, None, months.dated(first, date_column).withColumns(empty), touched)
+    table = months.read(spark, path)
+    if date_column in keys:
+        arriving = [r["month"] for r in months.dated(new, date_column).select("month").distinct().collect()]
+        table = months.read(spark, path, arriving)
+    fresh = months.dated(absent(table, new), date_column)
+    return months.change(spark, path, None, None, _shaped(fresh, table), touched)
 
 
 def month_start(day) -> Column:
     return F.trunc(F.lit(day).cast("date"), "month")
-
-
-def highwater(df: DataFrame, date_column: str, overlap_days: int) -> DataFrame:
-    """One row: the first day to recompute = newest stored day minus the overlap."""
-    return df.agg(F.date_sub(F.max(date_column), overlap_days).alias("since"))

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from eventlens import reference as ref
 from eventlens.functions import expressions as X
 from eventlens.plans import gold, silver
-from eventlens.sources import feeds, tables
+from eventlens.sources import feeds, months, tables
 
 LATE = "3 days"
 
@@ -58,22 +58,26 @@ def stream_daily_geo(landed: DataFrame) -> DataFrame:
 
 
 def refresh_touched_months(batch: DataFrame, events_path: str, gold_path: str) -> None:
-    """Merge a micro-batch into the event table and rebuild the mart of its months.
+    """Merge a micro-batch into the event table and rebuild the mart of the months it touches.
 
-    Only the month names cross the driver. Replaying a batch gives the same tables.
+    These are the months of new and changed rows and those that moved events leave; a month
+    without events any more loses its mart. They are marked in the mart's folder before a
+    file of the events moves, and stay marked until their mart is stored. A batch that is
+    replayed finds its events stored; what its first run left undone is done then.
     """
     spark = batch.sparkSession
-    rows = batch.drop("event_ts").dropna(subset=["global_event_id", "event_date"])
-    months = [
-        r["month"]
-        for r in rows.select(F.date_format("event_date", "yyyy-MM").alias("month")).distinct().collect()
-    ]
-    if not months:
-        return
-    tables.upsert_by_month(spark, events_path, rows, tables.KEYS["events"], "event_date")
-    stored = spark.read.parquet(events_path).filter(F.col("month").cast("string").isin(months))
-    mart = gold.gold_geopolitical_daily(silver.silver_events(stored.drop("month")))
-    tables.materialize_incremental(gold.stamped(mart), gold_path, "event_date")
+    rows = batch.drop("event_ts")
+    tables.upsert_by_month(
+        spark, events_path, rows, tables.KEYS["events"], "event_date",
+        touched=lambda changed: months.mark(spark, gold_path, "events", changed),
+    )
+    marks = months.marked(spark, gold_path)
+    wanted = sorted(marks.get("events", {}))
+    if wanted:
+        stored = months.read(spark, events_path, wanted).drop("month")
+        mart = gold.stamped(gold.gold_geopolitical_daily(silver.silver_events(stored)))
+        months.change(spark, gold_path, months.dated(mart, "event_date"), wanted)
+        months.unmark(spark, marks)
 
 
 def stream_incremental_gold(
