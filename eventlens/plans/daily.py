@@ -55,6 +55,9 @@ SOURCES = {
     "gold/gold_daily_summary": ["gold/gold_geopolitical_daily", "gold/gold_market_daily", "gold/gold_sentiment_daily"],
 }
 GOLD = [name.removeprefix("gold/") for name in SOURCES if name.startswith("gold/")]
+#: Silver tables with a row for each event or headline; the others have one for each day and
+#: symbol, country or source.
+LARGE = ["silver/silver_events", "silver/silver_headlines"]
 #: Tables whose new rows are enriched, and where that job keeps its marks.
 ENRICHED, ENRICHMENT = ["bronze/news_headlines", "bronze/events"], "bronze/_enrichment"
 #: Filled by ``enrich``.
@@ -88,11 +91,11 @@ def refresh(
     ``make`` gives all rows of some months (None: of all). ``spread`` tells the months that
     changed months of the sources, by name, reach; by default the same ones.
     """
-    path, date = f"{root}/{name}", DATE_OF[name]
+    path, date, small = f"{root}/{name}", DATE_OF[name], name not in LARGE
     marks = months.marked(spark, path)
     touched = _touched(spark, root, name)
     if not months.stored(spark, path):
-        out = months.change(spark, path, months.dated(make(None), date), None, touched=touched)
+        out = months.change(spark, path, months.dated(make(None), date), None, touched=touched, small=small)
     else:
         changed = {source.replace(".", "/"): sorted(found) for source, found in marks.items()}
         wanted = spread(changed) if spread and changed else sorted(set().union(*changed.values()))
@@ -100,7 +103,7 @@ def refresh(
             months.finish(spark, path, touched)
             return []
         rows = months.dated(make(wanted), date).filter(F.col("month").isin(wanted))
-        out = months.change(spark, path, rows, wanted, touched=touched)
+        out = months.change(spark, path, rows, wanted, touched=touched, small=small)
     months.unmark(spark, marks)
     return out
 

@@ -1,9 +1,9 @@
 """Tables partitioned by month: replaced, appended to and followed a month at a time.
 
 A writer first stages its rows in a hidden folder of the table, then a list of what is to be
-done, whose _SUCCESS marker is the commit; then staged files take the place of the months. A
-job that dies before the marker leaves the table as it was; one that dies after it is
-finished by the next writer (``finish``), however far it came. A table has one writer at a
+done, which is the commit; then staged files take the place of the months. A job that dies
+before the list is there leaves the table as it was; one that dies after it is finished by
+the next writer (``finish``), however far it came. A table has one writer at a
 time.
 
 Months that a writer touches are told to ``touched`` before any file moves. A table built
@@ -12,6 +12,7 @@ from others keeps such marks in a hidden folder of its own until it has rebuilt
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -25,8 +26,12 @@ Touched = Callable[[list[str]], None]
 
 # ---- files ------------------------------------------------------------------------------
 def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+    sc = spark.sparkContext
+    if not hasattr(sc, "_eventlens_files"):
+        sc._eventlens_files = (spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration())
+    kind, conf = sc._eventlens_files
+    p = kind(path)
+    return p.getFileSystem(conf), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -51,6 +56,23 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def _note(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, which is there in full or not at all."""
+    fs, p = _fs(spark, f"{path}.tmp")
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    _move(spark, f"{path}.tmp", path)
+
+
+def _noted(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    file = fs.open(p)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    file.close()
+    return text
+
+
 # ---- reading ----------------------------------------------------------------------------
 def stored(spark: SparkSession, path: str) -> list[str]:
     """Months that the table holds, from the names of its folders."""
@@ -68,38 +90,48 @@ def dated(rows: DataFrame, date_column: str) -> DataFrame:
 
 
 # ---- writing ----------------------------------------------------------------------------
-def _stage(rows: DataFrame, path: str) -> None:
-    rows.hint("rebalance", F.col("month")).write.mode("overwrite").partitionBy("month").parquet(path)
+def _stage(rows: DataFrame, path: str, small: bool) -> None:
+    """Write the months; one that is large is written by several tasks.
+
+    Months known to be ``small`` (a row for each day and key of a bounded list) go to a task each,
+    so that their files are written side by side and not one after another.
+    """
+    if small:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartition(tasks, "month")
+    else:
+        dealt = rows.hint("rebalance", F.col("month"))
+    dealt.write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def change(
     spark: SparkSession, path: str, replaced: DataFrame | None, months: list[str] | None,
-    appended: DataFrame | None = None, touched: Touched | None = None,
+    appended: DataFrame | None = None, touched: Touched | None = None, small: bool = False,
 ) -> list[str]:
     """Replace ``months`` by the rows ``replaced`` and append the rows ``appended``.
 
     Both carry ``month``. A month of ``months`` without rows is removed; None stands for every
-    month that is stored or has rows. Returns the touched months.
+    month that is stored or has rows. ``small``: see ``_stage``. Returns the touched months.
     """
     finish(spark, path, touched)
     staged = f"{path}/_staged"
     remove(spark, staged)
     kept, plan = stored(spark, path), []
     if replaced is not None:
-        _stage(replaced, f"{staged}/replaced")
+        _stage(replaced, f"{staged}/replaced", small)
         full = stored(spark, f"{staged}/replaced")
         wanted = sorted(set(kept) | set(full)) if months is None else months
         if extra := sorted(set(full) - set(wanted)):
             raise ValueError(f"rows of months that aren't replaced: {extra}")
         plan += [("replace" if m in full else "remove", m, "") for m in wanted if m in full or m in kept]
     if appended is not None:
-        _stage(appended, f"{staged}/appended")
+        _stage(appended, f"{staged}/appended", small)
         for m in stored(spark, f"{staged}/appended"):
             folder = f"{staged}/appended/month={m}"
             plan += [("append", m, n) for n in names(spark, folder) if not n.startswith(("_", "."))]
     if plan:
-        schema = "what string, month string, name string"
-        spark.createDataFrame(plan, schema).coalesce(1).write.json(f"{staged}/plan")
+        # A line for each month and new file: what one refresh touches, not what the table holds.
+        _note(spark, f"{staged}/plan", json.dumps(plan))
     return finish(spark, path, touched)
 
 
@@ -109,27 +141,28 @@ def finish(spark: SparkSession, path: str, touched: Touched | None = None) -> li
     Every step may have been done before. Returns the touched months.
     """
     staged = f"{path}/_staged"
-    if not exists(spark, f"{staged}/plan/_SUCCESS"):
+    if not exists(spark, f"{staged}/plan"):
         remove(spark, staged)
         return []
-    # A row for each month and new file: what one refresh touches, not what the table holds.
-    plan = spark.read.schema("what string, month string, name string").json(f"{staged}/plan").collect()
-    months = sorted({p.month for p in plan})
+    plan = json.loads(_noted(spark, f"{staged}/plan"))
+    months = sorted({month for _, month, _ in plan})
     if touched is not None:
         touched(months)
-    for p in plan:
-        target = f"{path}/month={p.month}"
-        if p.what == "append":
-            source = f"{staged}/appended/month={p.month}/{p.name}"
-            if exists(spark, source):
+    kept = set(stored(spark, path))
+    replaced, appended = (set(stored(spark, f"{staged}/{kind}")) for kind in ("replaced", "appended"))
+    for what, month, name in plan:
+        target = f"{path}/month={month}"
+        if what == "append":
+            source = f"{staged}/appended/month={month}/{name}"
+            if month in appended and exists(spark, source):
                 fs, folder = _fs(spark, target)
                 fs.mkdirs(folder)
-                _move(spark, source, f"{target}/{p.name}")
-        elif p.what == "remove":
-            remove(spark, target)
-        elif exists(spark, source := f"{staged}/replaced/month={p.month}"):
-            remove(spark, target)
-            _move(spark, source, target)
+                _move(spark, source, f"{target}/{name}")
+        elif what == "remove" or month in replaced:
+            if month in kept:
+                remove(spark, target)
+            if what == "replace":
+                _move(spark, f"{staged}/replaced/month={month}", target)
     remove(spark, staged)
     # Sessions that have read the table hold lists of its files.
     spark.catalog.refreshByPath(path)

@@ -171,13 +171,13 @@ def materialize_incremental(
     spark = df.sparkSession
     rows = months.dated(df, date_column)
     if since is None:
-        return months.change(spark, path, rows, None, touched=touched)
+        return months.change(spark, path, rows, None, touched=touched, small=True)
     months.finish(spark, path, touched)
     first = str(since)[:7]
     rows = rows.filter(F.col(date_column) >= month_start(since))
     new = [r["month"] for r in rows.select("month").distinct().collect()]
     wanted = sorted({m for m in months.stored(spark, path) if m != months.UNDATED and m >= first} | set(new))
-    return months.change(spark, path, rows, wanted, touched=touched)
+    return months.change(spark, path, rows, wanted, touched=touched, small=True)
 
 
 def _last_of_key(new: DataFrame, keys: list[str], date_column: str) -> DataFrame:
