@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -15,14 +16,18 @@ from pyspark.sql import types as T
 
 from eventlens.functions import expressions as X
 from eventlens.functions import text as txt
-from eventlens.operators.dedup import keep_best
+from eventlens.operators.dedup import dedup_docs_across_topics, keep_best
+from eventlens.session import checkpoint
 
 MAX_DISTANCE = 0.9
 DIMENSIONS = 384
 MAX_CONTEXT_CHARS = 4000
-MAX_QUERIES = 4096
+# Queries whose vectors a task holds; more are searched block after block.
+BLOCK = 4096
 # Queries scored at a time, so that a block of distances stays small.
 TILE = 64
+# Up to so many rows for each query, Spark limits them before the shuffle.
+LIMITED = 1000
 # ---- fixed values: the briefing topics ------------------------------------------------
 TOPICS = [
     "military conflict and armed confrontation",
@@ -34,33 +39,14 @@ TOPICS = [
 
 
 # ---- nearest neighbours -------------------------------------------------------------------
-def cosine_topk(
-    corpus: DataFrame,
-    queries: dict[str, list[float]],
-    k: int = 10,
-    id_column: str = "id",
-    vector_column: str = "embedding",
-) -> DataFrame:
-    """(query_id, id, distance, rank) of the k nearest rows of each query vector, exactly.
+def query_rows(spark, vectors: dict[str, list[float]]) -> DataFrame:
+    """``query_id, vector, topic_no`` of a handful of named vectors, in their order."""
+    rows = [(n, [float(x) for x in v], i) for i, (n, v) in enumerate(vectors.items())]
+    return spark.createDataFrame(rows, "query_id string, vector array<double>, topic_no int")
 
-    Each Arrow batch is scored against the query matrix and only its own k best leave the
-    task, so the shuffle carries k rows per query and batch whatever the corpus size. Rows
-    with a null or zero vector are skipped; ties go to the smaller id.
-    """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} query vectors per call; split the batch")
-    names = list(queries)
-    matrix = np.array([queries[n] for n in names], dtype=np.float64).reshape(len(names), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = matrix / np.where(norms == 0, 1, norms)
-    id_type = corpus.schema[id_column].dataType
-    schema = T.StructType(
-        [
-            T.StructField("query_id", T.StringType()),
-            T.StructField(id_column, id_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
+
+def _nearest(names: list[str], matrix: np.ndarray, k: int, id_column: str) -> Callable:
+    """Of each Arrow batch (id, vector), the k nearest rows of each query."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,31 +61,64 @@ def cosine_topk(
                 continue
             ids = batch.column(0).take(pa.array(ok))
             unit = x[ok] / size[ok, None]
-            # Summed row by row so that equal vectors score equally wherever they sit.
-            order = np.array(ids.to_pylist(), dtype=object)
+            place = pc.rank(ids, tiebreaker="dense").to_numpy()
             for first in range(0, len(names), TILE):
-                tile = slice(first, first + TILE)
-                distance = np.round(1 - np.einsum("nd,qd->qn", unit, matrix[tile]), 12)
-                for name, d in zip(names[tile], distance, strict=True):
-                    cut = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-                    near = sorted(np.flatnonzero(d <= cut), key=lambda i: (d[i], order[i]))[:k]
+                # Products of whole matrices name the candidates; their distances are then summed
+                # row by row, so that equal vectors score equally wherever they sit.
+                rough = 1 - matrix[first : first + TILE] @ unit.T
+                for name, own, d in zip(names[first : first + TILE], matrix[first : first + TILE], rough, strict=True):
+                    cut = np.partition(d, k - 1)[k - 1] + 1e-9 if len(d) > k else np.inf
+                    near = np.flatnonzero(d <= cut)
+                    exact = np.round(1 - np.einsum("nd,d->n", unit[near], own), 12)
+                    best = np.lexsort((place[near], exact))[:k]
                     yield pa.record_batch(
-                        [
-                            pa.array([name] * len(near), pa.string()),
-                            ids.take(pa.array(near, pa.int64())),
-                            pa.array(d[near], pa.float64()),
-                        ],
+                        [pa.array([name] * len(best), pa.string()), ids.take(pa.array(near[best])), pa.array(exact[best])],
                         names=["query_id", id_column, "distance"],
                     )
 
-    local = (
-        corpus.filter(F.col(vector_column).isNotNull())
-        .select(id_column, vector_column)
-        .mapInArrow(nearest, schema)
-    )
-    best = keep_best(local, ["query_id"], [F.col("distance"), F.col(id_column)], n=k)
+    return nearest
+
+
+def cosine_topk(
+    corpus: DataFrame,
+    queries: DataFrame | dict[str, list[float]],
+    k: int = 10,
+    id_column: str = "id",
+    vector_column: str = "embedding",
+) -> DataFrame:
+    """(query_id, id, distance, rank) of the k nearest rows of each query vector, exactly.
+
+    Queries are rows (``query_id, vector``), or a handful of named vectors. They are taken in
+    blocks of about ``BLOCK``: a block's vectors go to the tasks, each Arrow batch is scored against
+    them and only its own k best leave the task, so the shuffle carries k rows per query
+    and batch whatever the corpus size. Where there are several blocks, each one's result is written
+    before the next begins. Rows and queries with a null or zero vector are skipped, or empty; ties
+    go to the smaller id.
+    """
+    spark = corpus.sparkSession
+    if isinstance(queries, dict):
+        queries = query_rows(spark, queries)
+    wanted = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    blocks = max(1, -(-wanted.count() // BLOCK))
+    id_type = corpus.schema[id_column].dataType.simpleString()
+    rows = corpus.filter(F.col(vector_column).isNotNull()).select(id_column, vector_column)
     w = Window.partitionBy("query_id").orderBy("distance", id_column)
-    return best.withColumn("rank", F.row_number().over(w))
+    order = [F.col("distance"), F.col(id_column)]
+    found = None
+    for block in range(blocks):
+        held = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
+        names = [r["query_id"] for r in held]
+        matrix = np.array([r["vector"] for r in held], dtype=np.float64).reshape(len(names), -1)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix = matrix / np.where(norms == 0, 1, norms)
+        part = rows.mapInArrow(_nearest(names, matrix, k, id_column), f"query_id string, `{id_column}` {id_type}, distance double")
+        if k > LIMITED:
+            part = keep_best(part.withColumn("_salt", F.pmod(F.xxhash64(id_column), F.lit(32))), ["query_id", "_salt"], order, n=k).drop("_salt")
+        best = keep_best(part, ["query_id"], order, n=k).withColumn("rank", F.row_number().over(w))
+        if blocks > 1:
+            best = checkpoint(best)
+        found = best if found is None else found.union(best)
+    return found
 
 
 def _documents(corpus: DataFrame, near: DataFrame, id_column: str) -> DataFrame:
@@ -109,7 +128,7 @@ def _documents(corpus: DataFrame, near: DataFrame, id_column: str) -> DataFrame:
 
 def search_headlines(
     headlines: DataFrame,
-    queries: dict[str, list[float]],
+    queries: DataFrame | dict[str, list[float]],
     limit: int = 10,
     start=None,
     end=None,
@@ -137,7 +156,7 @@ def search_headlines(
 
 def search_events(
     events: DataFrame,
-    queries: dict[str, list[float]],
+    queries: DataFrame | dict[str, list[float]],
     limit: int = 10,
     start=None,
     end=None,
@@ -172,7 +191,7 @@ def merge_ranked_docs(headlines: DataFrame, events: DataFrame, limit: int = 15)
 def search_all(
     headlines: DataFrame,
     events: DataFrame,
-    queries: dict[str, list[float]],
+    queries: DataFrame | dict[str, list[float]],
     limit: int = 15,
     start=None,
     end=None,
@@ -188,9 +207,13 @@ def search_all(
 
 
 # ---- context blocks -----------------------------------------------------------------------
-def format_context(docs: DataFrame, titles: dict[str, str], max_chars: int = MAX_CONTEXT_CHARS) -> DataFrame:
+def format_context(
+    docs: DataFrame, titles: DataFrame | dict[str, str] | None = None, max_chars: int = MAX_CONTEXT_CHARS
+) -> DataFrame:
     """One text block per query: headlines, then events, each by distance.
 
+    ``titles`` are rows (``query_id, title``) or a handful of named ones; a query without is told by its id.
+
     A query has at most its retrieval limit of documents, so the lists stay short.
     """
     score, g, n = F.col("sentiment_score"), F.col("goldstein_scale"), F.col("num_mentions")
@@ -209,24 +232,25 @@ def format_context(docs: DataFrame, titles: dict[str, str], max_chars: int = MAX
             F.size(lines) > 0, F.concat(F.lit("\n"), head, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))
         ).otherwise("")
 
-    title = F.try_element_at(
-        F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v in titles.items()])),
-        F.col("query_id"),
-    )
+    if isinstance(titles, dict):
+        titles = docs.sparkSession.createDataFrame(list(titles.items()), "query_id string, title string")
     whole = F.concat(
         F.lit("=== RELEVANT INTELLIGENCE (query: "),
-        F.coalesce(title, F.col("query_id")),
+        F.coalesce("title", "query_id"),
         F.lit(") ===\n"),
         section("headlines", "HEADLINES"),
         section("events", "EVENTS"),
     )
+    grouped = docs.groupBy("query_id").agg(
+        F.collect_list(F.when(is_headline, row)).alias("_headlines"),
+        F.collect_list(F.when(~is_headline, row)).alias("_events"),
+    )
+    titled = (
+        grouped.withColumn("title", F.lit(None).cast("string")) if titles is None
+        else grouped.join(titles.select("query_id", "title"), "query_id", "left")
+    )
     return (
-        docs.groupBy("query_id")
-        .agg(
-            F.collect_list(F.when(is_headline, row)).alias("_headlines"),
-            F.collect_list(F.when(~is_headline, row)).alias("_events"),
-        )
-        .select("query_id", whole.alias("context"))
+        titled.select("query_id", whole.alias("context"))
         .withColumn(
             "context",
             F.when(
@@ -254,20 +278,16 @@ def build_context(
 def briefing_docs(
     headlines: DataFrame,
     events: DataFrame,
-    topic_vectors: dict[str, list[float]],
+    topics: DataFrame | dict[str, list[float]],
     limit_per_topic: int = 5,
     start=None,
     end=None,
 ) -> DataFrame:
-    """Documents of all topics in one job; content seen under an earlier topic drops."""
-    docs = search_all(headlines, events, topic_vectors, limit_per_topic, start, end)
-    order = F.map_from_entries(
-        F.array(*[F.struct(F.lit(t), F.lit(i)) for i, t in enumerate(topic_vectors)])
-    )
-    numbered = docs.withColumn("topic_no", F.try_element_at(order, F.col("query_id")))
-    from eventlens.operators.dedup import dedup_docs_across_topics
-
-    return dedup_docs_across_topics(numbered)
+    """Documents of all topics in one job; content seen under an earlier topic (``topic_no``) drops."""
+    if isinstance(topics, dict):
+        topics = query_rows(headlines.sparkSession, topics)
+    docs = search_all(headlines, events, topics, limit_per_topic, start, end)
+    return dedup_docs_across_topics(docs.join(topics.select("query_id", "topic_no"), "query_id"))
 
 
 def briefing_context(

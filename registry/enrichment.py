@@ -13,11 +13,11 @@ from registry import query
 from registry.sql import big, codes, cte, query as q, r
 
 # ---- SQL: nearest neighbours --------------------------------------------------------------------
-cte("queries", "SELECT 'q' || vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings ORDER BY vec_id LIMIT 3")
+cte("queries", "SELECT 'q' || vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0")
 cte(
     "head_corpus",
     """SELECT h.*, CAST(v.embedding AS DOUBLE[]) AS embedding FROM b_news_headlines h
-       LEFT JOIN embeddings v ON v.vec_id = h.id AND v.label % 2 = 0""",
+       LEFT JOIN embeddings v ON v.vec_id = h.id""",
     "b_news_headlines",
 )
 cte(
@@ -25,7 +25,7 @@ cte(
     """SELECT e.*, CAST(v.embedding AS DOUBLE[]) AS embedding
        FROM (SELECT * FROM be QUALIFY row_number() OVER (PARTITION BY global_event_id
                ORDER BY num_mentions DESC, num_sources DESC, id DESC, source_url DESC) = 1) e
-       LEFT JOIN embeddings v ON v.vec_id * 8 + 1 = e.id AND v.label % 2 = 1""",
+       LEFT JOIN embeddings v ON v.vec_id * 8 + 1 = e.id""",
     "be",
 )
 
@@ -81,22 +81,22 @@ DOC = "query_id, source_type, doc_id, content, day, source, " + big("num_mention
     q("SELECT query_id, vec_id, rank, " + r("distance") + " FROM near_all", "near_all"),
 )
 def _(f):
-    return retrieval.cosine_topk(f.tables.raw("embeddings"), f.query_vectors(), 10, "vec_id")
+    return retrieval.cosine_topk(f.tables.raw("embeddings"), f.query_vectors, 10, "vec_id")
 
 
 @query("search_headlines", q(f"SELECT {DOC} FROM found_heads", "found_heads"))
 def _(f):
-    return retrieval.search_headlines(f.headline_corpus, f.query_vectors(), 7)
+    return retrieval.search_headlines(f.headline_corpus, f.query_vectors, 7)
 
 
 @query("search_events", q(f"SELECT {DOC} FROM found_events", "found_events"))
 def _(f):
-    return retrieval.search_events(f.event_corpus, f.query_vectors(), 7)
+    return retrieval.search_events(f.event_corpus, f.query_vectors, 7)
 
 
 @query("merge_ranked_docs", q(f"SELECT {DOC} FROM found", "found"))
 def _(f):
-    return retrieval.search_all(f.headline_corpus, f.event_corpus, f.query_vectors(), 15)
+    return retrieval.search_all(f.headline_corpus, f.event_corpus, f.query_vectors, 15)
 
 
 cte(
@@ -124,9 +124,7 @@ cte(
                FROM blocks)""", "blocks"),
 )
 def _(f):
-    vectors = f.query_vectors()
-    docs = retrieval.search_all(f.headline_corpus, f.event_corpus, vectors, 15)
-    return retrieval.format_context(docs, {n: n for n in vectors})
+    return retrieval.format_context(retrieval.search_all(f.headline_corpus, f.event_corpus, f.query_vectors, 15))
 
 
 @query("build_context")
@@ -168,7 +166,7 @@ cte(
     q("SELECT query_id, source_type, doc_id, content, " + r("distance") + " FROM topic_docs", "topic_docs"),
 )
 def _(f):
-    return retrieval.briefing_docs(f.headline_corpus, f.event_corpus, f.query_vectors(), 15).select(
+    return retrieval.briefing_docs(f.headline_corpus, f.event_corpus, f.query_vectors, 15).select(
         "query_id", "source_type", "doc_id", "content", "distance"
     )
 

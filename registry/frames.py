@@ -44,24 +44,28 @@ class Frames:
 
     @cached_property
     def headline_corpus(self) -> DataFrame:
-        """Headlines with the vectors of even labels."""
-        v = self.tables.raw("embeddings").filter("label % 2 = 0")
+        """Headlines with their vectors."""
+        v = self.tables.raw("embeddings")
         return self.bronze_headlines.join(
             v.select(F.col("vec_id").alias("id"), "embedding"), "id", "left"
         )
 
     @cached_property
     def event_corpus(self) -> DataFrame:
-        """Unique events with the vectors of odd labels."""
-        v = self.tables.raw("embeddings").filter("label % 2 = 1")
+        """Unique events with their vectors: every vector belongs to one event id."""
+        v = self.tables.raw("embeddings")
         return dedup.dedup_events(self.events).join(
             v.select((F.col("vec_id") * 8 + 1).alias("id"), "embedding"), "id", "left"
         )
 
-    def query_vectors(self, n: int = 3) -> dict[str, list[float]]:
-        """The first vectors of the table serve as queries."""
-        v = self.tables.raw("embeddings").orderBy("vec_id").limit(n).collect()
-        return {f"q{r['vec_id']}": list(r["embedding"]) for r in v}
+    @cached_property
+    def query_vectors(self) -> DataFrame:
+        """Every twentieth vector by its id serves as a query."""
+        v = self.tables.raw("embeddings").filter("vec_id % 20 = 0")
+        return v.select(
+            F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"),
+            F.col("embedding").alias("vector"), F.col("vec_id").cast("int").alias("topic_no"),
+        )
 
     @cached_property
     def silver_events(self) -> DataFrame:

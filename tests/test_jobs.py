@@ -167,7 +167,7 @@ def test_champion_needs_a_strictly_higher_score(spark):
     assert models.candidate_model(c.orderBy(F.col("test_auc").desc())) == ("boosted_trees", 0.5)
 
 
-def test_topk_equals_brute_force(spark):
+def test_topk_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 8)).astype(np.float32)
     x[10:40] = x[10]  # many equal distances
@@ -175,6 +175,10 @@ def test_topk_equals_brute_force(spark):
     corpus = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
     queries = {"a": x[10].tolist(), "b": x[7].tolist()}
     got = retrieval.cosine_topk(corpus, queries, 12).collect()
+    # More queries than a block holds, and more rows than Spark limits by itself.
+    monkeypatch.setattr(retrieval, "BLOCK", 1)
+    monkeypatch.setattr(retrieval, "LIMITED", 5)
+    assert sorted(map(str, retrieval.cosine_topk(corpus, queries, 12).collect())) == sorted(map(str, got))
     for name, qv in queries.items():
         v, w = x.astype(float), np.array(qv, float)
         d = np.round(1 - v @ w / np.linalg.norm(v, axis=1) / np.linalg.norm(w), 12)
