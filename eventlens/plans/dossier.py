@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens import reference as ref
+from eventlens.functions import expressions as X
 from eventlens.functions import text as txt
-from eventlens.operators import anomalies, correlation, events, news, patterns
+from eventlens.operators import anomalies, correlation, dedup, events, news, patterns, retrieval
 
 
 def questions_scope(questions: DataFrame, symbols: int | None = None) -> DataFrame:
@@ -32,8 +34,48 @@ def _first(rows: DataFrame, group: str, order: list, n: int | None) -> DataFrame
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def _per_query(scope: DataFrame, column: str, name: str) -> DataFrame:
-    return scope.select("query_id", F.explode(column).alias(name))
+def _in_scope(scope: DataFrame, column: str, name: str) -> DataFrame:
+    """The countries or symbols of all questions, each once: a part of two short fixed lists."""
+    return scope.select(F.explode(column).alias(name)).distinct()
+
+
+def for_questions(section: DataFrame, scope: DataFrame) -> DataFrame:
+    """A section's rows beside each question that they are about, for a reader of single questions."""
+    key = "country" if "country" in section.columns else "symbol"
+    column = "countries" if key == "country" else "symbols"
+    return scope.select("query_id", F.explode(column).alias(key)).join(section, key)
+
+
+def question_context(
+    questions: DataFrame, headlines: DataFrame, bronze_events: DataFrame, as_of, days_back: int = 30, limit: int = 10,
+    load: Callable | None = None,
+) -> DataFrame:
+    """``query_id, context``: the documents nearest to each question among the last ``days_back`` days.
+
+    A question's vector is a row like any other and comes from the encoder of the documents
+    (``load``, see ``embed_text``), which also embeds documents without a stored vector; so do all questions
+    and days together. A question that nothing is near to has an empty context.
+    """
+    since = days_before(as_of, days_back)
+
+    def vectors(rows: DataFrame, text) -> DataFrame:
+        return retrieval.embed_text(rows.withColumn("_text", text), "_text", load).drop("_text")
+
+    def documents(rows: DataFrame, text) -> DataFrame:
+        if "embedding" not in rows.columns:
+            return vectors(rows, text)
+        known = F.col("embedding").isNotNull()
+        return rows.filter(known).unionByName(vectors(rows.filter(~known).drop("embedding"), text))
+
+    asked = questions.select("query_id", "query")
+    heads = headlines.filter(X.timestamp_in_days("published_at", since, as_of))
+    happened = dedup.dedup_events(bronze_events.filter(X.between_dates("event_date", since, as_of)))
+    found = retrieval.search_all(
+        documents(heads, F.col("headline")), documents(happened, txt.event_text()),
+        vectors(asked, F.col("query")).select("query_id", F.col("embedding").alias("vector")), limit, since, as_of,
+    )
+    context = retrieval.format_context(found, asked.select("query_id", F.col("query").alias("title")))
+    return asked.select("query_id").join(context, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def query_dossier(
@@ -49,12 +91,16 @@ def query_dossier(
     prices_per_symbol: int | None = None,
     countries: int | None = None,
     headline_count: int | None = None,
+    load: Callable | None = None,
 ) -> dict[str, DataFrame]:
-    """Sections for a batch of questions; those about symbols or countries carry a query id.
-
-    Every section is computed once for all symbols or countries in scope, cut if a bound is
-    given (none by default), and only then joined to the questions. ``event_summary``,
-    ``headlines`` and ``sentiment`` are the same for all questions and have no query id.
+    """Sections for a batch of questions.
+
+    ``scope`` has each question's countries and symbols, ``context`` the documents nearest to it as a
+    text (``question_context``). The other sections are kept once, however many questions
+    are about them: ``events`` by country, ``market``, ``correlations``, ``patterns`` and ``anomalies`` by
+    symbol, for the countries and symbols in scope; ``event_summary``, ``headlines`` and ``sentiment`` for
+    all. ``for_questions`` joins a section to the questions. So the output grows with the questions and
+    the data, not with their product. Sections are cut if a bound is given; none is by default.
     """
     scope = questions_scope(questions, symbols)
     end = F.lit(as_of).cast("date")
@@ -62,35 +108,36 @@ def query_dossier(
     recent = bronze_events.filter(
         F.col("event_date").between(month, end) & (F.col("num_mentions") >= 200)
     )
-    by_country = _first(
-        recent.withColumn("country", F.explode(patterns.event_countries())),
-        "country", events.newest_first(recent), events_per_country,
+    by_country = recent.withColumn("country", F.explode(patterns.event_countries())).join(
+        _in_scope(scope, "countries", "country"), "country", "left_semi"
     )
-    top_events = by_country.join(_per_query(scope, "countries", "country"), "country").select(
-        "query_id", "country", *events.BRIEF
+    top_events = _first(by_country, "country", events.newest_first(recent), events_per_country).select(
+        "country", *events.BRIEF
     )
     summary = events.events_by_country(
         bronze_events.filter(F.col("event_date").between(month, end)), limit=countries
     ).select("country_code", "count")
 
-    wanted = _per_query(scope, "symbols", "symbol")
-    analysed = _per_query(
+    wanted = _in_scope(scope, "symbols", "symbol")
+    analysed = _in_scope(
         scope if analysed_symbols is None else scope.withColumn("symbols", F.slice("symbols", 1, analysed_symbols)),
         "symbols", "symbol",
     )
-    prices = (
-        _first(
-            market.filter(F.col("date").between(week, end)), "symbol", [F.col("date").desc()], prices_per_symbol
-        )
-        .join(wanted, "symbol")
-        .select("query_id", "symbol", "date", "open", "high", "low", "close", "volume", "daily_return")
-    )
+    prices = _first(
+        market.filter(F.col("date").between(week, end)).join(wanted, "symbol", "left_semi"),
+        "symbol", [F.col("date").desc()], prices_per_symbol,
+    ).select("symbol", "date", "open", "high", "low", "close", "volume", "daily_return")
     merged = correlation.merged_daily(market, bronze_events, start, as_of)
     flagged = anomalies.detect_anomalies(
         market, bronze_events, days_before(as_of, 90), as_of
     ).filter(F.col("date").between(quarter, end))
+
+    def significant(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("p_value") < 0.05).join(analysed, "symbol", "left_semi")
+
     return {
         "scope": scope,
+        "context": question_context(questions, headlines, bronze_events, as_of, load=load),
         "events": top_events,
         "event_summary": summary,
         "market": prices,
@@ -100,13 +147,9 @@ def query_dossier(
         "sentiment": news.sentiment_summary(
             headlines.filter(F.to_date("published_at").between(week, end))
         ),
-        "correlations": correlation.correlations(merged)
-        .filter(F.col("p_value") < 0.05)
-        .join(analysed, "symbol"),
-        "patterns": patterns.all_patterns(market, bronze_events, start=start, end=as_of)
-        .filter(F.col("p_value") < 0.05)
-        .join(analysed, "symbol"),
-        "anomalies": flagged.join(analysed, "symbol"),
+        "correlations": significant(correlation.correlations(merged)),
+        "patterns": significant(patterns.all_patterns(market, bronze_events, start=start, end=as_of)),
+        "anomalies": flagged.join(analysed, "symbol", "left_semi"),
     }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventlens import reference as ref
 from eventlens.functions import expressions as X
 from eventlens.functions import text as txt
-from eventlens.operators import dedup, quality, retrieval
+from eventlens.operators import dedup, events, quality, retrieval
 from eventlens.plans import gold
 from registry import query
 from registry.sql import big, codes, cte, query as q, r
@@ -283,26 +283,86 @@ def _(f):
     return e.select("id", F.size("embedding").alias("dims"), norm.alias("squared_norm"))
 
 
-@query("query_dossier")
-def _(f):
-    """Rows per section for every conversation turn taken as a question."""
-    from functools import reduce
+# ---- dossier: every turn is a question, about the days up to DAY -------------------------------------
+DAY = "1998-06-30"
+_LAST = f"BETWEEN DATE '{DAY}' - {{}} AND DATE '{DAY}'"
+cte(
+    "turn_symbols",
+    """SELECT t.conv_id, t.turn, CASE WHEN len(t.cs) = 0 THEN """ + repr(ref.GLOBAL_SYMBOLS) + """
+         ELSE list_sort(list(DISTINCT s.symbol)) END AS symbols
+       FROM turn_countries t JOIN (SELECT country_code, symbol FROM asset_map UNION ALL
+         SELECT NULL, unnest(['SPY', 'GC=F', 'CL=F', '^VIX'])) s
+         ON s.country_code IS NULL OR list_contains(t.cs, s.country_code) GROUP BY t.conv_id, t.turn, t.cs""",
+    "turn_countries asset_map",
+)
+
 
+def _dossier(f):
     from eventlens.plans import dossier
 
     turns = f.tables.raw("conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query")
     )
-    sections = dossier.query_dossier(
-        turns, f.silver_market, f.events, f.bronze_headlines, "1998-06-30", "1995-01-01"
-    )
+    return dossier.query_dossier(turns, f.silver_market, f.events, f.bronze_headlines, DAY, "1995-01-01")
+
+
+@query("query_dossier")
+def _(f):
+    """Rows per section for every conversation turn taken as a question."""
+    from functools import reduce
+
     parts = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("section"), "n_rows")
-        for n, df in sections.items()
+        for n, df in _dossier(f).items()
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@query(
+    "dossier_scope",
+    q("""SELECT conv_id || '-' || turn AS query_id, array_to_string(cs, ',') AS countries, array_to_string(symbols, ',') AS symbols
+         FROM turn_countries JOIN turn_symbols USING (conv_id, turn)""", "turn_countries turn_symbols"),
+)
+def _(f):
+    s = _dossier(f)["scope"]
+    return s.select("query_id", F.array_join("countries", ",").alias("countries"), F.array_join("symbols", ",").alias("symbols"))
+
+
+_BRIEF_SQL = ", ".join(
+    f"CAST({c} AS BIGINT) AS {c}" if c == "num_mentions" else c for c in events.BRIEF if c not in ("goldstein_scale", "avg_tone")
+) + ", " + r("goldstein_scale", "avg_tone")
+
+
+@query(
+    "dossier_events",
+    q(f"""SELECT country, {_BRIEF_SQL}
+          FROM (SELECT *, unnest(list_distinct([actor1_country_code, actor2_country_code, country_code])) AS country FROM be
+                WHERE event_date {_LAST.format(30)} AND num_mentions >= 200)
+          WHERE country IN (SELECT unnest(cs) FROM turn_countries)""", "be turn_countries"),
+)
+def _(f):
+    return _dossier(f)["events"].withColumn("num_mentions", F.col("num_mentions").cast("long"))
+
+
+@query(
+    "dossier_event_summary",
+    q(f"""SELECT action_geo_country_code AS country_code, count(*) AS count FROM be
+          WHERE action_geo_country_code <> '' AND event_date {_LAST.format(30)} GROUP BY 1""", "be"),
+)
+def _(f):
+    return _dossier(f)["event_summary"]
+
+
+@query(
+    "dossier_market",
+    q("SELECT symbol, date, " + big("volume") + ", " + r("open", "high", "low", "close", "daily_return")
+      + f" FROM silver_market WHERE date {_LAST.format(7)} AND symbol IN (SELECT unnest(symbols) FROM turn_symbols)",
+      "silver_market turn_symbols"),
+)
+def _(f):
+    return _dossier(f)["market"]
+
+
 # ---- data quality ------------------------------------------------------------------------------------
 def _tables(f):
     return {

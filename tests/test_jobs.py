@@ -204,14 +204,33 @@ def test_plugged_scorer_and_encoder(spark):
 
 
 def test_dossier_sections(spark, frames):
-    q = spark.createDataFrame([("a", "What about Russian gas?"), ("b", "Any risk today?")], "query_id string, query string")
-    d = dossier.query_dossier(q, frames.silver_market, frames.events, frames.bronze_headlines, "1998-06-30", "1995-01-01")
+    q = spark.createDataFrame([("a", "What about Russian gas?"), ("b", "Any risk today?"), ("c", "Russian oil")], "query_id string, query string")
+    heads = frames.bronze_headlines.withColumn("published_at", F.expr("published_at + interval 1260 days"))
+    day = "1998-06-30"
+    d = dossier.query_dossier(q, frames.silver_market, frames.events, heads, day, "1995-01-01")
     scope = {r["query_id"]: r for r in d["scope"].collect()}
     assert scope["a"]["countries"] == ["RUS"] and "NG=F" in scope["a"]["symbols"] and scope["b"]["symbols"][0] == "SPY"
-    assert {r["symbol"] for r in d["market"].collect()} <= {"CL=F", "GC=F", "NG=F", "^VIX"}
+    assert {r["symbol"] for r in d["market"].collect()} <= {s for r in scope.values() for s in r["symbols"]}
     assert d["event_summary"].count() > 0 and d["sentiment"].count() == 1
-    for section in ("events", "correlations", "patterns", "anomalies"):
-        assert d[section].filter(F.col("query_id").isNull()).count() == 0
+    # Two questions about one country: its rows stand once, and beside each of the two on demand.
+    events = d["events"].count()
+    assert {r["country"] for r in d["events"].collect()} == {"RUS"} and events > 0
+    assert dossier.for_questions(d["events"], d["scope"]).count() == 2 * events
+    for section in ("market", "correlations", "patterns", "anomalies"):
+        read = dossier.for_questions(d[section], d["scope"]).select("query_id", "symbol").distinct().collect()
+        assert all(r["symbol"] in scope[r["query_id"]]["symbols"] for r in read)
+        assert "query_id" not in d[section].columns
+    context = {r["query_id"]: r["context"] for r in d["context"].collect()}
+    assert set(context) == {"a", "b", "c"}
+    # A question that repeats a headline of the last month finds it first; a stored vector is used as it is.
+    known = heads.filter("published_at BETWEEN '1998-06-10' AND '1998-06-20' AND length(headline) > 20").orderBy("id").first()
+    asked = spark.createDataFrame([("x", known["headline"]), ("y", "zzz qqq")], "query_id string, query string")
+    found = {r["query_id"]: r["context"] for r in dossier.question_context(asked, heads, frames.events, day).collect()}
+    assert found["x"].startswith(f"=== RELEVANT INTELLIGENCE (query: {known['headline']}") and found["y"] == ""
+    assert known["headline"] in found["x"].split("HEADLINES")[1]
+    stored = retrieval.embed_text(heads, "headline")
+    again = dossier.question_context(asked, stored, frames.events, day).collect()
+    assert {r["query_id"]: r["context"] for r in again} == found
 
 
 # ---- streams -------------------------------------------------------------------------------------
