@@ -8,6 +8,8 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from eventlens.operators import models, retrieval
@@ -157,6 +159,35 @@ def test_daily_pipeline_and_late_rows(spark, frames, tmp_path):
     assert version == 1 and auc == max(r["test_auc"] for r in trained.collect())
 
 
+def test_boosting_stops_after_its_patience(spark, tmp_path):
+    # The first rise is not the end; what comes after twenty idle rounds is not looked at.
+    assert models.best_round([5, 4, 4.5, 3, 3.5, 3.2, 3.1], 3) == (4, True)
+    assert models.best_round([5, 4, 4.5, 4.2, 3], 3) == (5, False)
+    assert models.best_round([1.0], 20) == (1, False)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 2))
+    y = ((x[:, 0] + rng.normal(0, 1.5, 600)) > 0).astype(int)
+    rows = [(float(a), float(b), int(t), "train" if i < 400 else "val") for i, ((a, b), t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, target int, split string")
+    for train in (models.train_boosted_trees, models.train_boosted_leaves):
+        model = train(df, ["a", "b"], rounds=30, patience=4)
+        kept = model.stages[-1]
+        assert 1 <= kept.getNumTrees < 30
+        # The cut ensemble scores like the same rounds fitted alone, and can be stored.
+        shape = models.DEPTH_WISE if train is models.train_boosted_trees else models.LEAF_WISE
+        alone = GBTClassifier(labelCol="target", maxIter=kept.getNumTrees, **models.BOOSTING, **shape)
+        scaled = PipelineModel(stages=model.stages[:-1]).transform(df)
+        p = lambda m: [r[0][1] for r in m.transform(scaled).select("probability").collect()]
+        assert p(kept) == pytest.approx(p(alone.fit(scaled.filter("split = 'train'"))))
+        model.write().overwrite().save(str(tmp_path / "m"))
+        again = PipelineModel.load(str(tmp_path / "m")).transform(df).select("probability").collect()
+        assert [r[0][1] for r in again] == pytest.approx(p(kept))
+        losses = kept.evaluateEachIteration(scaled.filter("split = 'val'"))
+        assert losses[-1] == min(losses)
+    whole = models.train_boosted_trees(df.filter("split = 'train'"), ["a", "b"], rounds=3)
+    assert whole.stages[-1].getNumTrees == 3
+
+
 def test_champion_needs_a_strictly_higher_score(spark):
     reg = spark.createDataFrame([], models.REGISTRY)
     for auc in (0.5, 0.5, 0.6):
