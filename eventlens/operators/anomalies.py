@@ -54,12 +54,11 @@ def isolation_forest(df: DataFrame, contamination: float = CONTAMINATION) -> Dat
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date").reset_index(drop=True)
         x = np.nan_to_num(pdf[FOREST_FEATURES].to_numpy(float))
-        spread = x.std(axis=0)
-        raw = isolation_scores((x - x.mean(axis=0)) / np.where(spread == 0, 1, spread))
+        raw = isolation_scores(x)
         decision = raw - np.percentile(raw, 100 * contamination)
         low, high = decision.min(), decision.max()
         return pdf.assign(
-            isolation_flag=decision < 0,
+            isolation_flag=np.round(decision, 12) < 0,
             isolation_score=decision,
             anomaly_probability=1 - (decision - low) / (high - low + 1e-10),
         )

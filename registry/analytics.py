@@ -608,7 +608,10 @@ def _(f):
     )
 
 
-@query("isolation_forest")
+@query(
+    "isolation_forest",
+    q("SELECT symbol, date, isolation_flag, " + r("isolation_score", "anomaly_probability") + " FROM forest_scores", "forest_scores"),
+)
 def _(f):
     days = features.anomaly_features(f.silver_market, f.bronze_events, *SPAN)
     return anomalies.isolation_forest(days).select(
@@ -616,7 +619,12 @@ def _(f):
     )
 
 
-@query("detect_anomalies")
+@query(
+    "detect_anomalies",
+    q("SELECT symbol, date, anomaly_type, detected_by, event_count, "
+      + r("actual_return", "expected_return", "z_score", "isolation_score", "anomaly_probability", "avg_goldstein")
+      + " FROM all_anomalies", "all_anomalies"),
+)
 def _(f):
     found = anomalies.detect_anomalies(f.silver_market, f.bronze_events, *SPAN)
     return found.withColumn("detected_by", F.array_join("detected_by", ","))

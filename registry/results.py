@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens import reference as ref
+from eventlens.functions.forest import DECIMALS, SAMPLE, TREES
 from eventlens.operators import anomalies, event_study, results
 from registry.sql import cte, t_two_sided
 
@@ -138,6 +139,89 @@ cte(
        FROM anomaly_flags WHERE zscore_anomaly OR unexplained_move OR muted_response""",
     "anomaly_flags",
 )
+# ---- the isolation forest, grown again level by level --------------------------------------
+_X = ["log_return", "abs_return", "z_score", "goldstein_mean", "event_count"]
+
+
+def _share(node: str, purpose: str) -> str:
+    return f"(CAST('0x' || substr(md5(tree || ':' || {node} || ':{purpose}'), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+def _mean_path(n: str) -> str:
+    return (f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE "
+            f"2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n} END")
+
+
+cte(
+    "forest_days",
+    "SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, "
+    f"least({SAMPLE}, count(*) OVER (PARTITION BY symbol)) AS size, "
+    "[" + ", ".join(f"round(CAST({c} AS DOUBLE), {DECIMALS})" for c in _X) + "] AS x FROM anomaly_features",
+    "anomaly_features",
+)
+cte("forest_shares", f"SELECT tree, i, {_share('i', 'row')} AS u FROM range({TREES}) t(tree), "
+    "(SELECT DISTINCT i FROM forest_days)", "forest_days")
+cte(
+    "forest_0",
+    """SELECT symbol, tree, i, x, size, 1 AS node,
+              row_number() OVER (PARTITION BY symbol, tree ORDER BY u, i) <= size AS sampled
+       FROM forest_days JOIN forest_shares USING (i)""",
+    "forest_days forest_shares",
+)
+LEVELS = (SAMPLE - 1).bit_length()
+for _d in range(LEVELS + 1):
+    _low, _high = ("[" + ", ".join(f"{f}(x[{j}]) FILTER (sampled)" for j in range(1, len(_X) + 1)) + "]" for f in ("min", "max"))
+    cte(
+        f"forest_nodes_{_d}",
+        f"""SELECT *, size > 1 AND {_d} < ceil(log2(greatest(whole, 2))) AND len(open) > 0 AS splits,
+                   open[1 + CAST(floor({_share('node', 'feature')} * len(open)) AS BIGINT)] AS j, {_share('node', 'cut')} AS u
+            FROM (SELECT *, list_filter(range(1, {len(_X) + 1}), lambda k: high[k] > low[k]) AS open
+                  FROM (SELECT symbol, tree, node, any_value(size) AS whole, count(*) FILTER (sampled) AS size,
+                               {_low} AS low, {_high} AS high FROM forest_{_d} GROUP BY symbol, tree, node))""",
+        f"forest_{_d}",
+    )
+    cte(
+        f"forest_done_{_d}",
+        f"""SELECT r.symbol, r.i, {_d} + {_mean_path('n.size')} AS path FROM forest_{_d} r
+            JOIN forest_nodes_{_d} n USING (symbol, tree, node) WHERE NOT splits""",
+        f"forest_{_d} forest_nodes_{_d}",
+    )
+    if _d < LEVELS:
+        cte(
+            f"forest_{_d + 1}",
+            f"""SELECT r.symbol, r.tree, r.i, r.x, r.size, sampled,
+                       2 * node + CAST(x[j] > low[j] + (high[j] - low[j]) * u AS INT) AS node
+                FROM forest_{_d} r JOIN forest_nodes_{_d} n USING (symbol, tree, node) WHERE splits""",
+            f"forest_{_d} forest_nodes_{_d}",
+        )
+cte(
+    "forest_scores",
+    f"""SELECT symbol, date, round(decision, 12) < 0 AS isolation_flag, decision AS isolation_score,
+               1 - (decision - min(decision) OVER s) / (max(decision) OVER s - min(decision) OVER s + 1e-10) AS anomaly_probability
+        FROM (SELECT symbol, date, raw - quantile_cont(raw, 0.05) OVER (PARTITION BY symbol) AS decision
+              FROM (SELECT symbol, date, -pow(2, -total / {TREES} / greatest({_mean_path('size')}, 1e-12)) AS raw
+                    FROM forest_days JOIN (SELECT symbol, i, sum(path) AS total FROM ("""
+    + " UNION ALL ".join(f"SELECT * FROM forest_done_{d}" for d in range(LEVELS + 1))
+    + """) GROUP BY symbol, i) USING (symbol, i)))
+        WINDOW s AS (PARTITION BY symbol)""",
+    "forest_days " + " ".join(f"forest_done_{d}" for d in range(LEVELS + 1)),
+)
+cte(
+    "all_anomalies",
+    """SELECT symbol, date,
+              CASE WHEN unexplained_move THEN 'unexplained_move'
+                   WHEN muted_response THEN 'muted_response'
+                   ELSE 'statistical_outlier' END AS anomaly_type,
+              log_return AS actual_return, coalesce(rolling_mean, 0) AS expected_return, z_score,
+              isolation_score, anomaly_probability, event_count, goldstein_mean AS avg_goldstein,
+              concat_ws(',', CASE WHEN isolation_flag THEN 'isolation_forest' END,
+                        CASE WHEN zscore_anomaly THEN 'zscore' END,
+                        CASE WHEN unexplained_move THEN 'unexplained_move' END,
+                        CASE WHEN muted_response THEN 'muted_response' END) AS detected_by
+       FROM anomaly_flags JOIN forest_scores USING (symbol, date)
+       WHERE isolation_flag OR zscore_anomaly OR unexplained_move OR muted_response""",
+    "anomaly_flags forest_scores",
+)
 cte(
     "day_events",
     """SELECT event_date AS date, event_id
