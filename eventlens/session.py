@@ -35,15 +35,12 @@ def get_session(app: str = "eventlens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Iterative fits read their input many times. The cluster names the folder in
-    ``spark.checkpoint.dir``; where it is unset, a folder of this machine is made if all of
-    Spark runs here (tests), and a cluster is refused: its executors would each write to
-    their own disk.
+    Where it is unset, a folder of this machine is made if all of Spark runs here (tests), and
+    a cluster is refused: its executors would each write to their own disk.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +49,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="eventlens-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; iterative fits read their input many times."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -50,22 +50,22 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
+def move(spark: SparkSession, source: str, target: str) -> None:
     fs, p = _fs(spark, source)
     if not fs.rename(p, _fs(spark, target)[1]):
         raise OSError(f"cannot move {source} to {target}")
 
 
-def _note(spark: SparkSession, path: str, text: str) -> None:
+def note(spark: SparkSession, path: str, text: str | bytes) -> None:
     """A small file, which is there in full or not at all."""
     fs, p = _fs(spark, f"{path}.tmp")
     out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(text.encode() if isinstance(text, str) else text))
     out.close()
-    _move(spark, f"{path}.tmp", path)
+    move(spark, f"{path}.tmp", path)
 
 
-def _noted(spark: SparkSession, path: str) -> str:
+def noted(spark: SparkSession, path: str) -> str:
     fs, p = _fs(spark, path)
     file = fs.open(p)
     text = spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
@@ -131,7 +131,7 @@ def change(
             plan += [("append", m, n) for n in names(spark, folder) if not n.startswith(("_", "."))]
     if plan:
         # A line for each month and new file: what one refresh touches, not what the table holds.
-        _note(spark, f"{staged}/plan", json.dumps(plan))
+        note(spark, f"{staged}/plan", json.dumps(plan))
     return finish(spark, path, touched)
 
 
@@ -144,7 +144,7 @@ def finish(spark: SparkSession, path: str, touched: Touched | None = None) -> li
     if not exists(spark, f"{staged}/plan"):
         remove(spark, staged)
         return []
-    plan = json.loads(_noted(spark, f"{staged}/plan"))
+    plan = json.loads(noted(spark, f"{staged}/plan"))
     months = sorted({month for _, month, _ in plan})
     if touched is not None:
         touched(months)
@@ -157,12 +157,12 @@ def finish(spark: SparkSession, path: str, touched: Touched | None = None) -> li
             if month in appended and exists(spark, source):
                 fs, folder = _fs(spark, target)
                 fs.mkdirs(folder)
-                _move(spark, source, f"{target}/{name}")
+                move(spark, source, f"{target}/{name}")
         elif what == "remove" or month in replaced:
             if month in kept:
                 remove(spark, target)
             if what == "replace":
-                _move(spark, f"{staged}/replaced/month={month}", target)
+                move(spark, f"{staged}/replaced/month={month}", target)
     remove(spark, staged)
     # Sessions that have read the table hold lists of its files.
     spark.catalog.refreshByPath(path)

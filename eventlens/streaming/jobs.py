@@ -35,6 +35,50 @@ def stream_land_events(events: DataFrame, late: str = LATE) -> DataFrame:
     )
 
 
+def land_batch(batch: DataFrame, batch_id: int, landed_path: str, late_path: str, late_days: int = 3) -> None:
+    """Land the first arrival of each event id; rows that come too late go to a side table.
+
+    Too late is what lies ``late_days`` or more before the newest day landed by earlier batches, as
+    a watermark would have it. That day is noted for the batch, so that a replay parts the same rows:
+    it finds its events landed and writes its part of the side table again.
+    """
+    spark = batch.sparkSession
+    rows = batch.drop("event_ts").dropna(subset=["global_event_id", "event_date"])
+    note = f"{late_path}/_newest/{batch_id}"
+    if not months.exists(spark, note):
+        days = [m for m in months.stored(spark, landed_path) if m != months.UNDATED]
+        # Months are in order; the newest day is in the last.
+        last = months.read(spark, landed_path, days[-1:]).agg(F.max("event_date")).first()[0] if days else ""
+        months.note(spark, note, str(last))
+    newest = months.noted(spark, note)
+    in_time = F.lit(True) if not newest else F.col("event_date") > F.date_sub(F.lit(newest).cast("date"), late_days)
+    keys = tables.KEYS["events"]
+    first = [F.col(c).desc_nulls_last() for c in rows.columns if c not in keys]
+    tables.insert_by_month(
+        spark, landed_path, rows.filter(in_time), lambda old, new: tables.insert_absent(old, new, keys, first), keys, "event_date"
+    )
+    if newest:
+        rows.filter(~in_time).write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
+
+
+def stream_land_with_late(
+    events: DataFrame, landed_path: str, late_path: str, checkpoint: str, late_days: int = 3
+) -> DataStreamWriter:
+    """Writer that lands a stream and loses nothing: see ``land_batch`` and ``late_events``."""
+    return (
+        events.writeStream.foreachBatch(lambda batch, no: land_batch(batch, no, landed_path, late_path, late_days))
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+    )
+
+
+def late_events(spark: SparkSession, late_path: str) -> DataFrame | None:
+    """The side table, to be landed by the next daily run; None while there is none."""
+    if not any(n.startswith("batch=") for n in months.names(spark, late_path)):
+        return None
+    return spark.read.parquet(late_path).drop("batch")
+
+
 def stream_daily_geo(landed: DataFrame) -> DataFrame:
     """Running figures per (day, country); run in update mode.
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
 from pyspark.sql import functions as F
 
 from eventlens.functions import expressions as X
 from eventlens.operators import dedup
-from eventlens.sources import feeds, tables
+from eventlens.session import shared_folder
+from eventlens.sources import feeds, months, tables
 from registry import query
 from registry.sql import big, cte, query as q, r
 
@@ -14,7 +19,7 @@ NOW = "2001-12-31 00:00:00"
 
 
 # ---- events: strings with blanks, junk numbers and one impossible date ----------------------
-def raw_events(f):
+def raw_events(f, **more):
     n, mentions = F.col("num_sources"), F.col("num_mentions").cast("string")
     text = {
         "GlobalEventID": F.col("global_event_id"),
@@ -43,7 +48,7 @@ def raw_events(f):
             f"Actor{i}CountryCode": F.col(f"actor{i}_country_code"),
             f"Actor{i}Type1Code": F.lit("GOVX"),
         }
-    return f.bronze_events.select(*[c.alias(name) for name, c in text.items()])
+    return f.bronze_events.select(*[c.alias(name) for name, c in (text | more).items()])
 
 
 cte(
@@ -62,6 +67,69 @@ cte(
 )
 
 
+# ---- export files, written from the sample and read back -------------------------------------
+def _exports(f) -> str:
+    """A folder of tab-separated exports, each month's events in the file of its first day.
+
+    Beside each row with five sources stands a line that breaks off, beside each with six one with
+    fields too many; links hold quotes. The month of ``ZIPPED`` is there as an archive, too.
+    """
+    spark = f.spark
+    raw = raw_events(f, file=F.date_format("event_date", "yyyyMM'01'")).withColumn("SOURCEURL", F.concat("SOURCEURL", F.lit('"q"')))
+    field = [F.coalesce(raw[c], F.lit("")) if c in raw.columns else F.lit("") for c in feeds.EVENT_COLUMNS]
+    line = F.concat_ws("\t", *field)
+    lines = F.when(F.col("NumSources") == "5", F.array(line, F.concat_ws("\t", *field[:20]))).when(
+        F.col("NumSources") == "6", F.array(line, F.concat(line, F.lit("\tx\ty")))
+    ).otherwise(F.array(line))
+    rows = raw.select("file", F.explode(lines).alias("value"))
+    folder = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
+    rows.repartition("file").write.partitionBy("file").text(f"{folder}/_parts")
+    for part in months.names(spark, f"{folder}/_parts"):
+        if part.startswith("file="):
+            for n, name in enumerate(x for x in months.names(spark, f"{folder}/_parts/{part}") if x.startswith("part-")):
+                months.move(spark, f"{folder}/_parts/{part}/{name}", f"{folder}/{part[5:]}.{n}.export.CSV")
+    months.remove(spark, f"{folder}/_parts")
+    # One month, as the export brings it: an archive of one file.
+    text = spark.read.text(folder, pathGlobFilter=f"{ZIPPED}.*")
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z, z.open("export.CSV", "w") as member:
+        for row in text.toLocalIterator():
+            member.write(f"{row.value}\n".encode())
+    months.note(spark, f"{folder}/zip/{ZIPPED}.zip", packed.getvalue())
+    return folder
+
+
+ZIPPED = "19960301"
+_RAW = ["GlobalEventID", "Day", "EventRootCode", "Actor1Code", "NumMentions", "SOURCEURL"]
+
+
+def _raw_sql(where: str = "true") -> str:
+    return q(
+        f"""SELECT global_event_id AS "GlobalEventID",
+                  CASE WHEN num_sources = 3 THEN '20011399' ELSE strftime(event_date, '%Y%m%d') END AS "Day",
+                  CASE WHEN num_sources <> 1 THEN event_root_code END AS "EventRootCode", nullif(actor1_code, '') AS "Actor1Code",
+                  CASE WHEN num_sources = 7 THEN 'n/a' ELSE CAST(num_mentions AS VARCHAR) END AS "NumMentions",
+                  source_url || '"q"' AS "SOURCEURL"
+           FROM b_events WHERE {where}""", "b_events",
+    )
+
+
+@query("read_event_tsv", _raw_sql())
+def _(f):
+    return feeds.read_event_tsv(f.spark, f"{_exports(f)}/*.export.CSV").select(*_RAW)
+
+
+@query("read_event_zip", _raw_sql(f"strftime(event_date, '%Y%m01') = '{ZIPPED}'"))
+def _(f):
+    return feeds.read_event_zip(f.spark, f"{_exports(f)}/zip/*.zip").select(*_RAW)
+
+
+@query("read_event_range", _raw_sql("event_date BETWEEN DATE '1995-12-01' AND DATE '1998-02-28'"))
+def _(f):
+    """Most days of the range have no file; files of other days aren't opened."""
+    return feeds.read_event_range(f.spark, _exports(f), "1995-11-02", "1998-02-01").select(*_RAW)
+
+
 @query(
     "filter_significant_raw",
     q("SELECT global_event_id AS \"GlobalEventID\", source_url AS \"SOURCEURL\" FROM landed", "landed"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators import models, retrieval
 from eventlens.plans import daily, dossier, gold, silver
-from eventlens.sources import feeds, tables
+from eventlens.sources import feeds, months, tables
 from eventlens.streaming import jobs
 
 
@@ -281,6 +281,33 @@ def test_stream_lands_each_id_once(spark, frames, tmp_path):
     assert got.count() == e.select("global_event_id").distinct().count()
 
 
+def test_late_rows_are_kept_aside(spark, frames, tmp_path):
+    e = frames.bronze_events.filter("event_date BETWEEN '1995-02-01' AND '1995-02-20'")
+    late = frames.bronze_events.filter("event_date = '1995-02-16'").withColumn("global_event_id", F.concat(F.lit("late"), "global_event_id"))
+    in_time = late.withColumns({"event_date": F.lit("1995-02-18").cast("date"), "global_event_id": F.concat(F.lit("new"), "global_event_id")})
+    folder, landed, aside = (str(tmp_path / n) for n in ("in", "landed", "aside"))
+    for n, part in enumerate((e, late.unionByName(in_time).unionByName(e.limit(5)))):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.read_event_stream(spark, folder, e.schema, 1)
+        q = jobs.stream_land_with_late(stream, landed, aside, str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+        if n == 0:
+            assert jobs.late_events(spark, aside) is None
+    ids = lambda df: {r[0] for r in df.select("global_event_id").collect()}
+    assert late.count() > 0 and ids(jobs.late_events(spark, aside)) >= ids(late)
+    got = months.read(spark, landed)
+    assert ids(got) == ids(e) | ids(in_time) and got.count() == len(ids(got))
+    # A replay parts the rows as before, and lands nothing twice.
+    jobs.land_batch(late.unionByName(in_time), 1, landed, aside)
+    assert months.read(spark, landed).count() == got.count() and ids(jobs.late_events(spark, aside)) == ids(late)
+    # The next daily run takes them in.
+    root = str(tmp_path / "w")
+    for source in (lambda: e, lambda: jobs.late_events(spark, aside)):
+        daily.land_bronze(spark, root, {"events": source})
+    assert ids(daily.bronze(spark, root, "events")) == ids(e) | ids(late)
+
+
 def test_stream_daily_counts(spark, frames, tmp_path):
     e, stream = _stream(spark, frames, tmp_path, 1)
     ts = stream.withColumn("event_ts", F.col("event_date").cast("timestamp")).withWatermark("event_ts", "3 days")

@@ -73,7 +73,7 @@ def test_emptied_months_go_and_a_killed_job_is_finished(spark, tmp_path, monkeyp
             replaced()
     assert rows_of(months.read(spark, path)) == before
     # Killed at every step after the commit: the next writer finishes.
-    move, remove = months._move, months.remove
+    move, remove = months.move, months.remove
     for steps in range(4):
         with monkeypatch.context() as m:
             left = [steps]
@@ -88,7 +88,7 @@ def test_emptied_months_go_and_a_killed_job_is_finished(spark, tmp_path, monkeyp
 
                 return run
 
-            m.setattr(months, "_move", step(move))
+            m.setattr(months, "move", step(move))
             m.setattr(months, "remove", step(remove))
             with pytest.raises(InterruptedError):
                 replaced()
