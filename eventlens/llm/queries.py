@@ -147,3 +147,62 @@ def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.aligned(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     )
+
+
+# CRC-32 of the decimal id, a bit at a time; a node is known by a digest of its turns' digests.
+ORACLE["op12_prefix_trie"] = """
+WITH t AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS r, coalesce(text, '') AS x
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT c, c - c % 5 AS base, xor(4294967295, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))
+    )) % 9 AS h
+    FROM (SELECT DISTINCT c FROM t)
+), turns AS (
+    SELECT v.c, 0 AS part, pos, r, x FROM convs v JOIN t ON t.c = v.base AND pos <= h
+    UNION ALL SELECT t.c, 1, pos, r, x FROM t JOIN convs v ON v.c = t.c WHERE pos > h
+), prefixes AS (
+    SELECT c, row_number() OVER w AS d, octet_length(encode(x)) AS bytes, md5(string_agg(md5(length(r) || ':' || r || x), '') OVER w) AS k
+    FROM turns WINDOW w AS (PARTITION BY c ORDER BY part, pos)
+), places AS (
+    SELECT c, d, bytes, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), 'root') AS p FROM prefixes
+    UNION ALL SELECT c, 0, 0, 'root', NULL FROM convs
+), nodes AS (
+    SELECT k, any_value(p) AS p, any_value(d) AS d, min(c) AS m, count(*) AS n, (count(*) - 1) * any_value(bytes) AS saved FROM places GROUP BY k
+), children AS (
+    SELECT p AS k, count(*) AS n_children FROM nodes WHERE p IS NOT NULL GROUP BY p
+), subtrees AS (
+    SELECT a.k, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+    FROM nodes y LEFT JOIN children ON children.k = y.k JOIN places a ON a.c = y.m AND a.d <= y.d GROUP BY a.k
+), ends AS (
+    SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM places
+    WHERE (c, d) IN (SELECT (c, max(d)) FROM places GROUP BY c) GROUP BY k
+)
+SELECT y.m AS conv_id, CAST(y.d AS BIGINT) AS depth, above.m AS parent_conv_id, y.n AS n_convs, coalesce(n_children, 0) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes y LEFT JOIN nodes above ON above.k = y.p LEFT JOIN children ON children.k = y.k
+JOIN subtrees ON subtrees.k = y.k LEFT JOIN ends ON ends.k = y.k
+"""
+
+
+# All pairs of a label; fine for the samples, quadratic beyond.
+ORACLE["op11_vector_duplicates"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+    SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b
+), least AS (
+    SELECT a, min(b) AS m FROM reach GROUP BY a
+), n AS (
+    SELECT a, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, coalesce(m, vec_id) >= vec_id AS kept
+FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
