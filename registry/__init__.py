@@ -33,5 +33,5 @@ def query(name: str, sql: str | None = None, keep_types: bool = False):
 
 def load() -> None:
     from registry import (  # noqa: F401
-        analytics, silver_gold, serving, bronze, learning, enrichment,
+        analytics, silver_gold, serving, bronze, learning, enrichment, jobs,
     )
