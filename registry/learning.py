@@ -290,29 +290,125 @@ def _(f):
     return datasets.label_encode_symbol(_pairs(f).select("symbol")).distinct()
 
 
-# ---- models (no SQL equivalent) -----------------------------------------------------------------
+# ---- logistic regression by symbol -----------------------------------------------------------
+# The optimum is one: SQL reaches it by steps whose matrix bounds the curvature (a quarter of the
+# Gram matrix and the unit penalty), for all rows (fold 5) and without each of five folds.
+_N = len(features.CLASSIFICATION_FEATURES)
+_D, STEPS = _N + 1, 60
+cte(
+    "logit_rows",
+    "SELECT symbol, date, CAST(log_return > 0 AS INT) AS y, [" + ", ".join(f"CAST({c} AS DOUBLE)" for c in features.CLASSIFICATION_FEATURES)
+    + """] AS x FROM merged
+    QUALIFY count(*) OVER (PARTITION BY symbol) >= 30 AND min(log_return > 0) OVER (PARTITION BY symbol) <> max(log_return > 0) OVER (PARTITION BY symbol)""",
+    "merged",
+)
+cte(
+    "logit_scales",
+    "SELECT symbol, count(*) AS n, avg(y) AS up, arg_min(y, date) AS first_class, ["
+    + ", ".join(f"avg(x[{j}])" for j in range(1, _N + 1)) + "] AS means, ["
+    + ", ".join(f"coalesce(nullif(stddev_pop(x[{j}]), 0), 1)" for j in range(1, _N + 1)) + "] AS scales FROM logit_rows GROUP BY symbol",
+    "logit_rows",
+)
+# Rows of the class that comes first are dealt to folds as by turns, the other class fills up; a
+# class's rows of a fold stand together.
+_first = "floor((m + 4 - i) / 5)"
+cte(
+    "logit_z",
+    f"""SELECT symbol, y, z, len(list_filter(ends, lambda e: e <= place)) AS fold
+        FROM (SELECT *, list_transform(range(5), lambda k: list_sum(sizes[1:k + 1])) AS ends
+              FROM (SELECT *, list_transform(range(5), lambda i: CASE WHEN y = first_class THEN {_first}
+                                ELSE floor((n + 4 - i) / 5) - {_first} END) AS sizes
+                    FROM (SELECT r.symbol, r.y, n, first_class, count(*) FILTER (r.y = first_class) OVER (PARTITION BY r.symbol) AS m,
+                                 row_number() OVER (PARTITION BY r.symbol, r.y ORDER BY date) - 1 AS place,
+                                 list_prepend(1.0, list_transform(range(1, {_D}), lambda j: (x[j] - means[j]) / scales[j])) AS z
+                          FROM logit_rows r JOIN logit_scales s ON r.symbol = s.symbol)))""",
+    "logit_rows logit_scales",
+)
+cte("logit_sets", "SELECT symbol, k, fold, y, z FROM logit_z, range(6) f(k)", "logit_z")
+cte(
+    "logit_inverse_0",
+    "SELECT symbol, k, [" + ", ".join(
+        "[" + ", ".join(f"sum(z[{i}] * z[{j}]) / 4" + (" + 1" if i == j > 1 else "") for j in range(1, _D + 1)) + ", "
+        + ", ".join(str(float(i == j)) for j in range(1, _D + 1)) + "]" for i in range(1, _D + 1)
+    ) + "] AS m FROM logit_sets WHERE fold <> k GROUP BY symbol, k",
+    "logit_sets",
+)
+for _i in range(1, _D + 1):
+    cte(
+        f"logit_inverse_{_i}",
+        f"""SELECT symbol, k, list_transform(range(1, {_D + 1}), lambda i: list_transform(range(1, {2 * _D + 1}), lambda c:
+                CASE WHEN i = {_i} THEN m[i][c] ELSE m[i][c] - m[i][{_i}] * m[{_i}][c] END)) AS m
+            FROM (SELECT symbol, k, list_transform(range(1, {_D + 1}), lambda i: CASE WHEN i = {_i}
+                      THEN list_transform(m[i], lambda v: v / m[i][i]) ELSE m[i] END) AS m FROM logit_inverse_{_i - 1})""",
+        f"logit_inverse_{_i - 1}",
+    )
+cte(
+    "logit_fit_0",
+    f"SELECT symbol, k, list_transform(m, lambda row: row[{_D + 1}:{2 * _D}]) AS inv, list_transform(m, lambda row: 0.0::DOUBLE) AS w FROM logit_inverse_{_D}",
+    f"logit_inverse_{_D}",
+)
+for _i in range(1, STEPS + 1):
+    _g = ", ".join(f"sum(e * z[{j}])" + (f" + any_value(w)[{j}]" if j > 1 else "") for j in range(1, _D + 1))
+    cte(
+        f"logit_fit_{_i}",
+        f"""SELECT symbol, k, inv, list_transform(range(1, {_D + 1}), lambda i: w[i] - list_dot_product(inv[i], g)) AS w
+            FROM (SELECT symbol, k, any_value(inv) AS inv, any_value(w) AS w, [{_g}] AS g
+                  FROM (SELECT s.symbol, s.k, z, inv, w, 1 / (1 + exp(-list_dot_product(z, w))) - y AS e
+                        FROM logit_sets s JOIN logit_fit_{_i - 1} f ON f.symbol = s.symbol AND f.k = s.k WHERE fold <> s.k)
+                  GROUP BY symbol, k)""",
+        f"logit_sets logit_fit_{_i - 1}",
+    )
+cte(
+    "logit_fits",
+    f"""SELECT s.symbol, n, up, means, scales, w[1] AS intercept, w[2:] AS coefs, accuracy, accuracy_std
+        FROM logit_scales s JOIN logit_fit_{STEPS} f ON f.symbol = s.symbol AND f.k = 5
+        JOIN (SELECT symbol, avg(hit) AS accuracy, stddev_pop(hit) AS accuracy_std
+              FROM (SELECT r.symbol, r.k, avg(CAST((list_dot_product(z, w) > 0) = (y = 1) AS INT)) AS hit
+                    FROM logit_sets r JOIN logit_fit_{STEPS} h ON h.symbol = r.symbol AND h.k = r.k WHERE fold = r.k GROUP BY r.symbol, r.k)
+              GROUP BY symbol) a ON a.symbol = s.symbol""",
+    f"logit_scales logit_sets logit_fit_{STEPS}",
+)
 CURRENT = {
     "goldstein_mean": 0.0, "goldstein_min": -2.0, "goldstein_max": 5.0, "mentions_total": 500,
     "avg_tone": -1.0, "conflict_count": 5, "cooperation_count": 10,
 }
+_NAMES, _VALUES = list(features.CLASSIFICATION_FEATURES), [float(CURRENT[c]) for c in features.CLASSIFICATION_FEATURES]
+cte(
+    "logit_now",
+    f"""SELECT symbol, n, accuracy, intercept, list_transform(range(1, {_D}), lambda j: coefs[j] * ({_VALUES}[j] - means[j]) / scales[j]) AS parts
+        FROM logit_fits""",
+    "logit_fits",
+)
 
 
 def _fits(f):
     return models.logistic_fit(features.classification_features(f.silver_market, f.bronze_events))
 
 
-@query("logistic_direction")
+@query(
+    "logistic_direction",
+    q(f"""SELECT symbol, CASE WHEN p >= 0.5 THEN 'UP' ELSE 'DOWN' END AS prediction, {r("p AS probability_up", "accuracy")},
+                 n AS n_training_samples, {_NAMES}[list_position(sizes, list_max(sizes))] AS leading, {r("list_max(sizes) AS leading_size")}
+          FROM (SELECT *, 1 / (1 + exp(-(intercept + list_sum(parts)))) AS p, list_transform(parts, lambda v: abs(v)) AS sizes FROM logit_now)""",
+      "logit_now"),
+)
 def _(f):
-    return models.logistic_direction(_fits(f), CURRENT).withColumn(
-        "contributions", F.to_json("contributions")
-    )
+    """The largest contribution stands for all."""
+    found = models.logistic_direction(_fits(f), CURRENT)
+    return found.withColumns({"leading": F.col("contributions")[0]["feature"], "leading_size": F.col("contributions")[0]["size"]}).drop("contributions")
 
 
-@query("logistic_summary")
+@query(
+    "logistic_summary",
+    q(f"""SELECT symbol, {_NAMES}[j] AS feature, {r("coefs[j] AS coefficient", "abs(coefs[j]) AS importance", "intercept", "accuracy", "accuracy_std")},
+                 n AS n_training_samples, {r("up AS up_ratio")}
+          FROM logit_fits, range(1, {_D}) t(j)""", "logit_fits"),
+)
 def _(f):
     return models.logistic_summary(_fits(f))
 
 
+# ---- models (no SQL equivalent) -----------------------------------------------------------------
 @query("standard_scaler")
 def _(f):
     from pyspark.ml import Pipeline
