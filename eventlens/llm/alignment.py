@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,18 +103,17 @@ class Units:
         a = [e.ids for e in encode([" " + u for u in units], add_special_tokens=False)]
         b = self.b.encode(units, num_threads=1)
         own = [(" " + u).encode() for u in units]
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        good = [
-            b"".join([a_bytes[i] for i in x]) == o == b"".join([b_bytes[i] for i in y])
-            for x, y, o in zip(a, b, own, strict=True)
-        ]
-        for k, fine in enumerate(good):
-            if not fine:
-                a[k], b[k], own[k] = [], [], b""
-        a_ids = np.fromiter((i for x in a for i in x), np.int64)
-        b_ids = np.fromiter((i for x in b for i in x), np.int64)
+        good = [True] * len(units)
+        if not (_joined(self.a_bytes, a) == b"".join(own) == _joined(self.b_bytes, b)):
+            good = [_joined(self.a_bytes, [x]) == o == _joined(self.b_bytes, [y]) for x, y, o in zip(a, b, own, strict=True)]
+            for k, fine in enumerate(good):
+                if not fine:
+                    a[k], b[k], own[k] = [], [], b""
+        n_a, n_b, n_own = list(map(len, a)), list(map(len, b)), list(map(len, own))
+        a_ids = np.fromiter(chain.from_iterable(a), np.int64, sum(n_a))
+        b_ids = np.fromiter(chain.from_iterable(b), np.int64, sum(n_b))
         a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
-        unit_ends = np.cumsum([len(o) for o in own])
+        unit_ends = np.cumsum(n_own)
         marks = np.zeros((2, int(unit_ends[-1]) + 1), bool)
         marks[0, a_ends] = marks[1, b_ends] = True
         # Between two neighbouring ends lies one link: one token of A over one of B.
@@ -133,11 +133,11 @@ class Units:
         for fine, to in zip(good, group_of, strict=True):
             self.groups.append(";".join(told[before:to]) if fine else None)
             before = to
-        counts = np.array([[len(x) for x in a], [len(y) for y in b], np.diff([0, *group_of])]).T
+        counts = np.array([n_a, n_b, np.diff([0, *group_of])]).T
         self.counts = np.concatenate([self.counts, counts])
         self.pairs = np.concatenate([self.pairs, pairs])
         self.first = np.concatenate([self.first, links + self.first[-1]])
-        self.used += sum(map(len, own)) + 12 * len(pairs) + 250 * len(units)
+        self.used += sum(n_own) + 12 * len(pairs) + 250 * len(units)
 
     def shorten(self, size: int, names: list[str]) -> None:
         """Drop the units from place ``size`` on, whose names are given."""
@@ -148,6 +148,10 @@ class Units:
         self.pairs = self.pairs[: self.first[-1]]
 
 
+def _joined(entries: list[bytes], ids: list[list[int]]) -> bytes:
+    return b"".join(map(entries.__getitem__, chain.from_iterable(ids)))
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable Latin-1
     characters for themselves, the other bytes in order from code point 256 on."""
@@ -161,11 +165,9 @@ def units_for(a_file: str, b_file: str) -> Units:
     return Units(a_file, b_file)
 
 
-def _postings(known: Units, split: list[list[int]], first_doc: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ``pair << DOC_BITS | document`` of the texts, and the links that each holds."""
+def _postings(known: Units, units: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ``pair << DOC_BITS | document`` of the documents' units, and the links that each holds."""
     keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    docs = np.repeat(np.arange(len(split)) + first_doc, [len(s) for s in split])
-    units = np.fromiter((u for s in split for u in s), np.int64, len(docs))
     for a in range(0, len(units), SPREAD):
         u, d = units[a : a + SPREAD], docs[a : a + SPREAD]
         n = known.first[u + 1] - known.first[u]
@@ -273,7 +275,7 @@ def indexed(docs: DataFrame, a_file: str, b_file: str, id_col: str, text_col: st
                         yield from flushed()
                         block, n_docs, held = block + 1, 0, []
                     split = [units_of(t) if t else [] for t in part]
-                    wanted = {u for units in split for u in units}
+                    wanted = set(chain.from_iterable(split))
                     if known.used > REMEMBERED:
                         known.forget()
                     wanted.difference_update(known.place)
@@ -285,13 +287,17 @@ def indexed(docs: DataFrame, a_file: str, b_file: str, id_col: str, text_col: st
                     # A text that one of the tokenizers doesn't give back has no tokens.
                     whole = [None not in g for g in told]
                     places = [p if fine else [] for p, fine in zip(places, whole, strict=True)]
-                    sums = [known.counts[p].sum(axis=0) if p else np.zeros(3, np.int64) for p in places]
-                    counts = np.array(sums).reshape(-1, 3)
+                    lengths = np.fromiter(map(len, places), np.int64, len(places))
+                    units = np.fromiter(chain.from_iterable(places), np.int64, lengths.sum())
+                    # Running totals, as a text may have no units.
+                    total = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(known.counts[units], axis=0)])
+                    ends = np.cumsum(lengths)
+                    counts = total[ends] - total[ends - lengths]
                     digests = [
                         hashlib.sha256(";".join(g).encode()).hexdigest() if fine and g else ""
                         for g, fine in zip(told, whole, strict=True)
                     ]
-                    held.append(_postings(known, places, n_docs))
+                    held.append(_postings(known, units, np.repeat(np.arange(len(part)) + n_docs, lengths)))
                     n = len(part)
                     facts = [
                         pa.array(np.arange(n_docs, n_docs + n), pa.int32()), *(pa.array(c, pa.int64()) for c in counts.T),
