@@ -34,8 +34,10 @@ DOC_BITS = 13
 BLOCK_DOCS, BLOCK_POSTINGS, BITSET = 1 << DOC_BITS, 2_000_000, (1 << DOC_BITS) // 8
 #: A pair of ids is one number; B has fewer ids than this many bits hold.
 B_BITS = 15
+#: Texts whose units are held at a time, beside the bound on their characters.
+PART_DOCS = 300
 #: Units up to so many characters are remembered, all in all about so many bytes.
-LONGEST, REMEMBERED = 64, 100_000_000
+LONGEST, REMEMBERED = 64, 80_000_000
 #: Units of a text that are spread into links at once.
 SPREAD = 500_000
 
@@ -269,8 +271,8 @@ def indexed(docs: DataFrame, a_file: str, b_file: str, id_col: str, text_col: st
         for batch in batches:
             id_type, row = batch.column(0).type, 0
             for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
-                for a in range(0, len(texts), BLOCK_DOCS):
-                    part = texts[a : a + BLOCK_DOCS]
+                for a in range(0, len(texts), PART_DOCS):
+                    part = texts[a : a + PART_DOCS]
                     if held and (n_docs + len(part) > BLOCK_DOCS or sum(len(k) for k, _ in held) > BLOCK_POSTINGS):
                         yield from flushed()
                         block, n_docs, held = block + 1, 0, []
