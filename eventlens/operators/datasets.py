@@ -194,55 +194,59 @@ def backward_context() -> dict[str, Column]:
     return {name: X.guarded(c, n, 20) for name, c in columns.items()}
 
 
-def around_dates(market: DataFrame, probes: DataFrame, horizon: int = 3) -> DataFrame:
-    """For each distinct (symbol, event_date): the row strictly after and strictly before.
+def calendar_context(market: DataFrame, probes: DataFrame, horizon: int = 3) -> DataFrame:
+    """For each symbol and calendar day of the probes' span: the trading days around it.
 
-    Returns forward_return from the next trading day and the prior_* context of the
-    previous one. Prices and probe days share one time line per symbol (at most two rows
-    per calendar day), so neither side needs a range join.
+    ``symbol, event_date`` with forward_return from the first row strictly after the day and the
+    prior_* context of the last row strictly before it. The prices alone tell it: a row is the next
+    one for the days back to the row before, and the previous one for the days up to the row
+    after. So probes meet it by an equality, and none of them moves by its symbol.
     """
     context = backward_context()
     prior = list(context)
+    w = Window.partitionBy("symbol").orderBy("date")
+    span = probes.agg(F.struct(F.min("event_date").alias("first"), F.max("event_date").alias("last"))).scalar()
+    day, one = F.col("date"), F.lit(1)
     rows = market.select(
         "symbol",
         "date",
         forward_return(horizon).alias("forward_return"),
-        *[c.alias(name) for name, c in context.items()],
+        F.struct(*[c.alias(name) for name, c in context.items()]).alias("_before"),
+        F.lag("date").over(w).alias("_last"),
+        F.lead("date").over(w).alias("_next"),
     )
-    packed = rows.select(
-        "symbol", "date", F.struct("forward_return", *prior).alias("_row"), F.lit(False).alias("_probe")
+    yesterday, tomorrow = F.date_sub(day, one), F.date_add(day, one)
+    since = F.coalesce("_last", F.least(span["first"], yesterday))
+    until = F.coalesce("_next", F.greatest(span["last"], tomorrow))
+    after = rows.select(
+        "symbol", F.explode(F.sequence(since, yesterday)).alias("event_date"), F.struct("forward_return").alias("_after")
     )
-    asked = probes.select(
-        "symbol", F.col("event_date").alias("date"), F.lit(True).alias("_probe")
-    ).distinct()
-    line = packed.unionByName(asked, allowMissingColumns=True).withColumn(
-        "_day", X.day_number("date")
+    before = rows.select("symbol", F.explode(F.sequence(tomorrow, until)).alias("event_date"), "_before")
+    # At most one row of each kind for a symbol and day.
+    days = after.unionByName(before, allowMissingColumns=True).groupBy("symbol", "event_date").agg(
+        F.max("_after").alias("_after"), F.max("_before").alias("_before")
     )
-    w = Window.partitionBy("symbol").orderBy("_day")
-    after = F.first("_row", ignorenulls=True).over(w.rangeBetween(1, Window.unboundedFollowing))
-    before = F.last("_row", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    return (
-        line.withColumns({"_after": after, "_before": before})
-        .filter("_probe")
-        .select(
-            "symbol",
-            F.col("date").alias("event_date"),
-            F.col("_after.forward_return").alias("forward_return"),
-            *[F.col(f"_before.{c}").alias(c) for c in prior],
-        )
+    return days.select(
+        "symbol", "event_date", F.col("_after.forward_return").alias("forward_return"), *[F.col(f"_before.{c}").alias(c) for c in prior]
     )
 
 
+def around_dates(market: DataFrame, probes: DataFrame, horizon: int = 3) -> DataFrame:
+    """``calendar_context`` of each distinct (symbol, event_date); nulls where no price is near."""
+    asked = probes.select("symbol", "event_date").distinct()
+    return asked.join(calendar_context(market, asked, horizon), ["symbol", "event_date"], "left")
+
+
 def forward_n_rows_join(market: DataFrame, pairs: DataFrame, horizon: int = 3) -> DataFrame:
     """Pairs with the summed return over the next ``horizon`` rows and the 0/1 target."""
-    days = around_dates(market, pairs, horizon).select("symbol", "event_date", "forward_return")
+    days = calendar_context(market, pairs, horizon).select("symbol", "event_date", "forward_return")
     out = pairs.join(days, ["symbol", "event_date"], "left")
     return out.withColumn("target", (F.col("forward_return") > 0).cast("int"))
 
 
 def backward_n_rows_join(market: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs with context from rows strictly before the event date."""
-    days = around_dates(market, pairs).drop("forward_return")
+    days = calendar_context(market, pairs).drop("forward_return")
     return pairs.join(days, ["symbol", "event_date"], "left")
 
 
@@ -269,7 +273,7 @@ def event_asset_dataset(
     No feature uses a price on or after the event date.
     """
     pairs = expand_event_assets(ml_significant_events(events, start, end), geo)
-    days = around_dates(market, pairs, horizon)
+    days = calendar_context(market, pairs, horizon)
     flags = X.event_category_flags("event_root_code") | X.signal_flags("goldstein_scale")
     joined = (
         pairs.join(days, ["symbol", "event_date"])
@@ -277,9 +281,10 @@ def event_asset_dataset(
         .withColumn("target", (F.col("forward_return") > 0).cast("int"))
         .withColumns(flags)
     )
-    # Every probe day stems from a pair, so the day table knows the symbols that remain.
-    encoded = label_encode_symbol(joined, days.dropna(subset=["forward_return"]))
-    rows = encoded.select(
+    # The symbol list and the split read their rows again; the pair joins run once.
+    symbol_free = [c for c in PAIR_FEATURES if c != "symbol_id"]
+    joined = checkpoint(joined.select("id", "source_url", "symbol", "event_date", *symbol_free, "target"))
+    rows = label_encode_symbol(joined).select(
         F.col("id").alias("event_id"),
         "source_url",
         "symbol",
@@ -287,9 +292,8 @@ def event_asset_dataset(
         *[F.col(c).cast("double").alias(c) for c in PAIR_FEATURES],
         "target",
     ).dropna(subset=PAIR_FEATURES)
-    # The split reads its rows twice; the pair joins run once.
     return chronological_split(
-        checkpoint(rows),
+        rows,
         "event_date",
         ["event_id", "source_url", "symbol"],
         bucket=F.pmod("event_id", F.lit(SPLIT_BUCKETS)),
