@@ -7,7 +7,7 @@ right finds the last piece, and with it the exact token count, of every prefix,
 question about truncation or a token budget is answered from the stored counts.
 
 Two characters that stand together in no piece are never merged across. Texts are cut
-there, so the counts of a stretch are computed once and remembered (a bounded memory).
+there, so the counts of a stretch are computed once and remembered (up to a number of bytes).
 """
 
 from __future__ import annotations

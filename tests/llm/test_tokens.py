@@ -90,3 +90,23 @@ def test_queries(spark):
         ids = tokenizer.encode(docs[r.doc_id], add_special_tokens=False).ids + [1]
         own = np.array(ids[r.start : r.start + r.length], "<u4").tobytes()
         assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(own))
+
+
+@pytest.mark.parametrize("make", [lambda: token_counts.PrefixCounts(MODEL), lambda: packing.WordIds(WORDS)])
+def test_memory_is_bounded_by_bytes(make, monkeypatch):
+    """Texts without spaces are one word each: none of them stays, and results don't change."""
+    r = random.Random(5)
+    letters = "日本語中文字符漢字仮名abc"
+    texts = ["".join(r.choice(letters) for _ in range(n)) for n in [300] * 400 + [65, 64, 63] * 50]
+    monkeypatch.setattr("eventlens.llm.memo.PASSING", 3_000)
+    known = make()
+    known.limit = 2_000
+    before = make()
+    for a in range(0, len(texts), 50):
+        known.learn(texts[a : a + 50])
+        for text in texts[a : a + 50] * 2:
+            assert [known[text]] == list(before.compute([text]))
+            assert sum(map(len, known.passing)) == known.passed <= 3_000
+    # A batch is learned in one go, so a generation exceeds its limit by one batch at most.
+    assert 4 * sum(map(len, [*known, *known.old])) < 2 * (2_000 + 50 * (4 * 64 + 32))
+    assert max(map(len, known), default=0) <= 64
