@@ -142,3 +142,33 @@ def test_queries(spark):
     got = QUERIES["op8_near_duplicates"](spark, folder).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(docs)
     assert sorted(map(tuple, QUERIES["op9_repeats"](spark, folder).collect())) == sorted(brute.repeats(docs))
+
+
+def common_line(n: int, seed: int) -> list[tuple[int, str]]:
+    """Texts around one line of 30 bytes: all neighbours differ, but for some that are shared."""
+    r = random.Random(seed)
+    word = lambda k: "".join(r.choice("abcdefghij") for _ in range(k))
+    shared = [word(40) for _ in range(5)]
+    out = []
+    for i in range(n):
+        left, right = (r.choice(shared) if r.random() < 0.2 else word(r.randint(0, 60)) for _ in range(2))
+        out.append((i, f"{left}[ all rights reserved, 2024 ]{right}" * r.choice([1, 1, 1, 2])))
+    out += [(n + i, r.choice(out)[1]) for i in range(n // 10)] + [(n, "x" * 40 + out[0][1]), (3, out[5][1])]
+    out += [(2 * n + i, " " * r.randint(100, 400)) for i in range(n // 10)]
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("limit", [2, 16, 100, 100_000])
+def test_repeats_around_a_hot_anchor(spark, limit):
+    import hashlib
+
+    rows = common_line(300, 7)
+    # Rows of one id are one document for the operator; the plain form sees them as such too.
+    want = sorted(brute.repeats(rows))
+    got = repeats.without_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=3_000, context_limit=limit
+    ).collect()
+    assert want == sorted(
+        (r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got
+    )
