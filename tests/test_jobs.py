@@ -217,6 +217,25 @@ def test_topk_equals_brute_force(spark, monkeypatch):
         assert [r["id"] for r in sorted((r for r in got if r["query_id"] == name), key=lambda r: r["rank"])] == want
 
 
+def test_topk_of_many_queries_runs_when_read(spark, monkeypatch):
+    """More queries than a block holds: one plan, with the rows of the closure's path; building it reads no row."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4))
+    x[5:15] = x[5]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(60, [0.0] * 4), (61, None)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i}", x[i].tolist()) for i in range(20)] + [("none", None)], "query_id string, vector array<double>")
+    want = retrieval.cosine_topk(corpus, asked, 6).collect()
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(retrieval, "PART", 9, raising=False)
+    got = retrieval.cosine_topk(corpus, asked, 6).collect()
+    assert len(got) == 120 and sorted(map(str, got)) == sorted(map(str, want))
+    assert retrieval.cosine_topk(corpus.limit(0), asked, 6).count() == 0
+    broken = corpus.withColumn("embedding", F.when(F.raise_error(F.lit("read")).isNull(), F.col("embedding")))
+    found = retrieval.cosine_topk(broken, asked, 6)
+    with pytest.raises(Exception, match="read"):
+        found.collect()
+
+
 def test_plugged_scorer_and_encoder(spark):
     df = spark.createDataFrame([(1, "x"), (2, "yy")], "id int, headline string")
 
