@@ -198,6 +198,29 @@ def test_champion_needs_a_strictly_higher_score(spark):
     assert models.candidate_model(c.orderBy(F.col("test_auc").desc())) == ("boosted_trees", 0.5)
 
 
+def test_evaluation_scores_each_row_once(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(x):
+        scored.add(1)
+        return float(x)
+
+    class Model:
+        def transform(self, df):
+            p = score("x")
+            return df.withColumn("p", p).withColumn("prediction", F.round("p")).withColumn("rawPrediction", array_to_vector(F.array(-F.col("p"), F.col("p"))))
+
+    rows = [(s, i % 2, (i % 2 + i % 3) / 3) for i, s in enumerate(["train"] * 6 + ["val"] * 6 + ["test"] * 6)]
+    got = models.evaluate_splits(Model(), spark.createDataFrame(rows, "split string, target int, x double"), "m").collect()
+    assert scored.value == 18 and {(r["split"], r["n"]) for r in got} == {("train", 6), ("val", 6), ("test", 6)}
+    assert models.train_random_forest(
+        spark.createDataFrame([("train", i % 2, float(i)) for i in range(20)], "split string, target int, a double"), ["a"], trees=2, depth=2
+    ).stages[-1].getCacheNodeIds()
+
+
 def test_topk_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 8)).astype(np.float32)
