@@ -246,10 +246,11 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     rows = rows.withColumn("lines", F.split("whole", "\r\n|[\r\n]"))
     listed = rows.select("id", F.filter("lines", lambda p: F.trim(p) != "").alias("parts"))
     model = trained(listed.select(F.explode("parts").alias("text")), sample_rows)
-    single = F.filter(
+    # A line without a telling word holds too few triples of any template: it isn't judged.
+    single = F.when(F.lower("whole").rlike(telling()), F.filter(
         F.transform("lines", lambda x, i: F.struct((i + 1).alias("a"), (i + 1).alias("b"), x.alias("text"))),
-        lambda x: F.trim(x.text) != "",
-    )
+        lambda x: F.lower(x.text).rlike(telling()),
+    )).otherwise(F.expr("cast(array() as array<struct<a:int,b:int,text:string>>)"))
     stretches = rows.where("id is not null").withColumn("row", F.monotonically_increasing_id()).select(
         "id", "row", F.explode(F.concat(single, joined("whole", "lines"))).alias("s")
     ).select("id", "row", "s.*")

@@ -86,6 +86,16 @@ def test_licences(spark):
         assert got[r.doc_id].families == ",".join(sorted(f for f, m in marks.items() if m in r.text))
 
 
+def test_only_telling_lines_are_judged(spark, monkeypatch):
+    seen, judged = [], licences.Model.judged
+    monkeypatch.setattr(licences.Model, "judged", lambda self, rows: seen.append(rows) or judged(self, rows))
+    prose = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text")
+    rows = [(1, "words of its own\n\nRELEASED under the MIT License.\n\nmore words"), (2, "nothing here\nand nothing there")]
+    got = {r.doc_id: r.families for r in licences.licences(spark.createDataFrame(rows, prose.schema).union(prose)).collect()}
+    assert (got[1], got[2]) == ("mit", "")
+    assert {r.text.strip() for r in seen[-1].where("id < 1000").select("text").collect()} == {rows[0][1].split("\n")[2]}
+
+
 def test_wrapped_licences(spark):
     """Notices wrapped at 72 columns, bare and as comments, beside one another and other lines."""
     import textwrap
