@@ -267,3 +267,23 @@ def test_null_scores_come_first(spark):
         "event_id string, symbol string, analysis_type string, event_window_start date, car double",
     )
     assert [x["event_id"] for x in results.list_results(r).collect()] == ["b", "a"]
+
+
+def test_mostly_unique_keys_are_dealt_before_they_are_sorted(spark):
+    rows = [(f"e{i % 40}", i % 3, f"u{i}") for i in range(60)] + [("hot", i % 7, f"u{i % 50}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, n int, u string")
+    order = [F.col("n").desc_nulls_last(), F.col("u").desc_nulls_last()]
+    want = sorted(map(tuple, dedup.keep_best(df, ["k"], order).collect()))
+    for frequent in (0, 50, 10_000):  # all keys, one key and none are limited first
+        assert sorted(map(tuple, dedup.keep_best_of_many(df, ["k"], order, frequent).collect())) == want
+    plan = dedup.keep_best_of_many(df, ["k"], order)._jdf.queryExecution().executedPlan().toString()
+    last, before = plan.split("REPARTITION_BY_COL", 1)
+    # One shuffle of all rows, sorted behind it; ahead of it only rows of frequent keys are.
+    assert "Sort" in last and "LeftAnti" in before and "Sort" not in before.split("LeftAnti")[0]
+    events = spark.createDataFrame(
+        [("a", dt.date(2020, 1, 1), "19", 5, 1), ("a", dt.date(2020, 2, 1), "19", 7, 1), (None, dt.date(2020, 1, 1), "19", 9, 1)],
+        "global_event_id string, event_date date, event_root_code string, num_mentions int, num_sources int",
+    )
+    kept = dedup.dedup_events(events)
+    assert [r["num_mentions"] for r in kept.collect()] == [7]
+    assert "REPARTITION_BY_COL" in kept._jdf.queryExecution().executedPlan().toString()
