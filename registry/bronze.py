@@ -72,7 +72,8 @@ def _exports(f) -> str:
     """A folder of tab-separated exports, each month's events in the file of its first day.
 
     Beside each row with five sources stands a line that breaks off, beside each with six one with
-    fields too many; links hold quotes. The month of ``ZIPPED`` is there as an archive, too.
+    fields too many; links hold quotes. The month of ``ZIPPED`` is there as an archive, too. Files are
+    compressed, and a large month is written in several, so that each is read by a task.
     """
     spark = f.spark
     raw = raw_events(f, file=F.date_format("event_date", "yyyyMM'01'")).withColumn("SOURCEURL", F.concat("SOURCEURL", F.lit('"q"')))
@@ -83,11 +84,11 @@ def _exports(f) -> str:
     ).otherwise(F.array(line))
     rows = raw.select("file", F.explode(lines).alias("value"))
     folder = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
-    rows.repartition("file").write.partitionBy("file").text(f"{folder}/_parts")
+    rows.hint("rebalance", F.col("file")).write.partitionBy("file").text(f"{folder}/_parts", compression="gzip")
     for part in months.names(spark, f"{folder}/_parts"):
         if part.startswith("file="):
             for n, name in enumerate(x for x in months.names(spark, f"{folder}/_parts/{part}") if x.startswith("part-")):
-                months.move(spark, f"{folder}/_parts/{part}/{name}", f"{folder}/{part[5:]}.{n}.export.CSV")
+                months.move(spark, f"{folder}/_parts/{part}/{name}", f"{folder}/{part[5:]}.{n}.export.CSV.gz")
     months.remove(spark, f"{folder}/_parts")
     # One month, as the export brings it: an archive of one file.
     text = spark.read.text(folder, pathGlobFilter=f"{ZIPPED}.*")
@@ -116,7 +117,7 @@ def _raw_sql(where: str = "true") -> str:
 
 @query("read_event_tsv", _raw_sql())
 def _(f):
-    return feeds.read_event_tsv(f.spark, f"{_exports(f)}/*.export.CSV").select(*_RAW)
+    return feeds.read_event_tsv(f.spark, f"{_exports(f)}/*.export.CSV.gz").select(*_RAW)
 
 
 @query("read_event_zip", _raw_sql(f"strftime(event_date, '%Y%m01') = '{ZIPPED}'"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import zipfile
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -43,6 +44,38 @@ def test_event_files(spark, tmp_path):
         assert out["1"]["source_url"] == 'http://x/"q"'
 
 
+def test_exports_of_a_large_month_are_several_packed_files(spark):
+    import registry
+
+    registry.load()
+    from registry import bronze
+
+    n = F.col("id").cast("int")
+    text = {c: F.concat(F.lit(c), n.cast("string")) for c in (
+        "event_root_code", "source_url", "action_geo_country_code", "action_geo_name",
+        *(f"actor{i}_{c}" for i in (1, 2) for c in ("code", "name", "country_code")),
+    )}
+    numbers = {c: n.cast("double") for c in ("goldstein_scale", "avg_tone", "action_geo_lat")}
+    events = spark.range(20_000).select(
+        n.cast("string").alias("global_event_id"), F.make_date(F.lit(1996), F.lit(3) + F.when(n < 10, 1).otherwise(0), F.lit(5)).alias("event_date"),
+        (n % 7 + 1).alias("num_sources"), n.alias("num_mentions"), n.alias("num_articles"), *[c.alias(name) for name, c in (text | numbers).items()],
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        folder = bronze._exports(SimpleNamespace(spark=spark, bronze_events=events))
+    finally:
+        spark.conf.set(size, before)
+    names = [x for x in months.names(spark, folder) if x != "zip"]
+    assert all(x.endswith(".export.CSV.gz") for x in names)
+    assert sum(x.startswith("19960301.") for x in names) > 1 and any(x.startswith("19960401.") for x in names)
+    got = feeds.read_event_tsv(spark, f"{folder}/*.export.CSV.gz").select("GlobalEventID", "SOURCEURL").collect()
+    assert sorted(int(r[0]) for r in got) == list(range(20_000)) and all(r[1].endswith('"q"') for r in got)
+    assert feeds.read_event_zip(spark, f"{folder}/zip/*.zip").count() == 20_000 - 10
+    assert feeds.read_event_range(spark, folder, "1996-03-20", "1996-04-02").count() == 10
+
+
 def test_event_range_skips_missing_days(spark, tmp_path):
     for d in ("20200104", "20200106", "20200109"):
         (tmp_path / f"{d}.export.CSV").write_text(_line(int(d), day=d))
