@@ -103,15 +103,15 @@ def train_boosted_trees(
 
     The loss on the validation rows after every round of a fitted ensemble comes from one
     pass over them. Boosting ends once ``patience`` rounds brought no better loss, and the trees
-    after the best round are cut off. Ensembles of 2, 4, 8 … times the patience are fitted until that
-    round is seen, so no more rounds are fitted than about four times those needed. Without rows
-    for validation all rounds count. ``shape`` are parameters of the trees (``DEPTH_WISE`` by default).
+    after the best round are cut off. The first ensemble has the fewest rounds that can show the end, one
+    and the patience; ensembles of 2, 4, 8 … times as many are fitted until it is seen, so no more
+    rounds are fitted than about four times those needed. Without rows for validation all rounds count. ``shape`` are parameters of the trees (``DEPTH_WISE`` by default).
     """
     scaler = Pipeline(stages=standard_scaler(features)).fit(_train(df))
     train = checkpoint(scaler.transform(_train(df)).select("features", "target"))
     val = checkpoint(scaler.transform(df.filter(F.col("split") == "val")).select("features", "target"))
     trees = GBTClassifier(labelCol="target", **BOOSTING, **(shape or DEPTH_WISE))
-    n, seen = min(rounds, 2 * patience), False
+    n, seen = min(rounds, patience + 1), False
     while not seen:
         fitted = trees.setMaxIter(n if not val.isEmpty() else rounds).fit(train)
         if val.isEmpty():

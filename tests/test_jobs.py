@@ -221,6 +221,22 @@ def test_boosting_stops_after_its_patience(spark, tmp_path):
     assert whole.stages[-1].getNumTrees == 3
 
 
+def test_boosting_fits_no_more_rounds_than_show_its_end(spark, monkeypatch):
+    # Validation rows say the opposite of the training rows: no round is better than the first.
+    rng = np.random.default_rng(5)
+    rows = [(float(a), int((a > 0) == (i < 200)), "train" if i < 200 else "val") for i, a in enumerate(rng.normal(size=300))]
+    df, fitted = spark.createDataFrame(rows, "a double, target int, split string"), []
+    set_rounds = GBTClassifier.setMaxIter
+    monkeypatch.setattr(models.GBTClassifier, "setMaxIter", lambda self, n: fitted.append(n) or set_rounds(self, n))
+    cut = models.train_boosted_trees(df, ["a"], rounds=30, patience=4).stages[-1]
+    assert cut.getNumTrees == 1 and fitted == [5]
+    # A longer ensemble begins with the same tree.
+    monkeypatch.undo()
+    monkeypatch.setattr(models, "best_round", lambda losses, patience: (len(losses), True))
+    longer = models.train_boosted_trees(df, ["a"], rounds=30, patience=9).stages[-1]
+    assert longer.getNumTrees == 10 and longer.trees[0].toDebugString.split("\n")[1:] == cut.trees[0].toDebugString.split("\n")[1:]
+
+
 def test_champion_needs_a_strictly_higher_score(spark):
     reg = spark.createDataFrame([], models.REGISTRY)
     for auc in (0.5, 0.5, 0.6):
