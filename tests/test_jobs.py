@@ -325,6 +325,19 @@ def test_plugged_scorer_and_encoder(spark):
     assert retrieval.embed_text(df, "headline", encoder).first()["embedding"] == pytest.approx([0.6, 0.8])
 
 
+def test_texts_of_questions_are_searched_once_by_all_tasks(spark):
+    asked = spark.createDataFrame(
+        [("a", "Russian oil and the UK"), ("b", "UKRAINE"), ("c", None), ("d", "nothing")], "query_id string, query string"
+    ).coalesce(1)
+    scope = dossier.questions_scope(asked)
+    assert {r["query_id"]: r["countries"] for r in scope.collect()} == {"a": ["GBR", "RUS"], "b": ["GBR", "UKR"], "c": [], "d": []}
+    assert scope.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for column, name in (("countries", "country"), ("symbols", "symbol")):
+        found = dossier._in_scope(scope, column, name)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+        assert {r[name] for r in found.collect()} == {x for r in scope.collect() for x in r[column]}
+
+
 def test_dossier_sections(spark, frames):
     q = spark.createDataFrame([("a", "What about Russian gas?"), ("b", "Any risk today?"), ("c", "Russian oil")], "query_id string, query string")
     heads = frames.bronze_headlines.withColumn("published_at", F.expr("published_at + interval 1260 days"))
