@@ -8,12 +8,13 @@ import zipfile
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
-from eventlens.operators import models, retrieval
+from eventlens.operators import models, patterns, retrieval
 from eventlens.plans import daily, dossier, gold, silver
 from eventlens.sources import feeds, months, tables
 from eventlens.streaming import jobs
@@ -289,6 +290,52 @@ def test_topk_equals_brute_force(spark, monkeypatch):
         assert [r["id"] for r in sorted((r for r in got if r["query_id"] == name), key=lambda r: r["rank"])] == want
 
 
+def test_topk_scores_equal_vectors_once(spark, monkeypatch):
+    """Many rows of a few vectors, queries in several blocks, blank and null ones: brute force, from few products."""
+    rng = np.random.default_rng(2)
+    kinds = rng.normal(size=(90, 6)).round(1).astype(np.float32)
+    kinds[0] = 0
+    x = kinds[rng.integers(0, 90, 3000)]
+    q = np.vstack([kinds[:40], rng.normal(size=(30, 6)).astype(np.float32)])
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(f"q{i:02}", v.tolist()) for i, v in enumerate(q)], "query_id string, vector array<float>")
+    ok = [i for i in range(len(x)) if x[i].any()]
+    v = x[ok].astype(float)
+    want = []
+    for i, w in enumerate(q.astype(float)):
+        d = np.round(1 - v @ w / np.linalg.norm(v, axis=1) / (np.linalg.norm(w) or 1), 9)
+        want += [(f"q{i:02}", ok[j], n) for n, j in enumerate(np.lexsort((ok, d))[:7], 1)]
+    for block, wide in ((4096, 4096), (1, 9)):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        monkeypatch.setattr(retrieval, "WIDE", wide)
+        got = retrieval.cosine_topk(corpus, asked, 7).collect()
+        assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == want
+    scored = []
+    whole = retrieval._near_pairs
+    monkeypatch.setattr(retrieval, "_near_pairs", lambda tile, unit, *more: scored.append(len(unit)) or whole(tile, unit, *more))
+    list(retrieval._best_of(pa.array(["a"]), retrieval._units(q[41:42].astype(float)), pa.array(range(3000)), x.astype(float), 7))
+    assert sum(scored) <= 89
+
+
+def test_patterns_bring_no_row_for_each_event_and_tag(spark):
+    """Tags come from one row for each date and code; nothing is exploded before the shuffle."""
+    rng = np.random.default_rng(3)
+    codes, places = ["19", "020", "4", "15", "x", None], ["RUS", "UKR", "USA", "XXX", None]
+    rows = [(dt.date(2020, 1, 1 + i % 9), codes[rng.integers(6)], *(places[rng.integers(5)] for _ in range(3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_date date, event_root_code string, actor1_country_code string, actor2_country_code string, country_code string")
+    tagged = patterns.tagged_days(df)
+    group = {"19": "violent_conflict", "020": "verbal_cooperation", "4": "verbal_cooperation", "15": "material_conflict"}
+    want = set()
+    for day, code, *cs in rows:
+        g, cs = group.get(code), {c for c in cs if c in ("RUS", "UKR", "USA")}
+        want |= {(day, g, None)} if g else set()
+        want |= {(day, None, c) for c in cs} | ({(day, g, c) for c in cs} if g in patterns.COMBINED_GROUPS else set())
+    got = [tuple(r) for r in tagged.select("date", "event_group", "country").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = tagged._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan[plan.rindex("Exchange"):]
+
+
 def test_topk_of_many_queries_runs_when_read(spark, monkeypatch):
     """More queries than a block holds: one plan, with the rows of the closure's path; building it reads no row."""
     rng = np.random.default_rng(1)
